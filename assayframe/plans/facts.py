@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.functions.coerce import as_boolean, as_number, as_text, as_timestamp
@@ -39,6 +40,7 @@ class Facts:
         self.columns = [c for c in df.columns if c != order_by]
         self._kinds = kinds
         self._quantiles: dict[str, dict[float, float]] = {}
+        self._shared: DataFrame | None = None
 
     @classmethod
     def of(cls, table: "Facts | DataFrame") -> "Facts":
@@ -157,4 +159,18 @@ class Facts:
         """``(column, value, n)`` over the non-null cells of the given columns."""
         if not columns:
             return self.df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+        if self._shared is not None and set(columns) <= set(self.of_kind("categorical", "text", "boolean")):
+            return self._shared.where(F.col("column").isin(columns))
         return value_counts(self.df, {c: self.text(c) for c in columns})
+
+    def share(self) -> "Facts":
+        """Keep the label counts for several operators; :meth:`release` frees them."""
+        columns = self.of_kind("categorical", "text", "boolean")
+        if self._shared is None and columns:
+            self._shared = value_counts(self.df, {c: self.text(c) for c in columns}).persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def release(self) -> None:
+        if self._shared is not None:
+            self._shared.unpersist()
+            self._shared = None
