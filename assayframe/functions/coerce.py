@@ -19,6 +19,12 @@ NA_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# All characters that count as white space, control characters first.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Format rules.
 NUMBER_PATTERN = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 EMAIL_PATTERN = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -36,7 +42,7 @@ NAMED_MONTH_FORMATS = {
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not just spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalise_label(text: Column) -> Column:
@@ -68,7 +74,7 @@ def as_number(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
     if isinstance(dtype, T.StringType):
-        bare = F.regexp_replace(strip(col), r"[,$%]", "")
+        bare = F.translate(strip(col), ",$%", "")
         return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("double")
@@ -84,8 +90,8 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = strip(col)
-    iso = F.regexp_replace(text, SLASH_YEAR_FIRST, "$1-$2-$3")
-    iso = F.regexp_replace(iso, SLASH_MONTH_FIRST, "$3-$1-$2")
+    dashed = F.regexp_replace(F.regexp_replace(text, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_MONTH_FIRST, "$3-$1-$2")
+    iso = F.when(text.contains("/"), dashed).otherwise(text)
     view = F.when(iso.rlike(ISO_TIMESTAMP), iso.try_cast("timestamp_ntz"))
     for shape, pattern in NAMED_MONTH_FORMATS.items():
         spaced = F.regexp_replace(text, "-", " ")

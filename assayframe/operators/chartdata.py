@@ -68,7 +68,7 @@ def _box_rows(df: DataFrame, boxes: list[tuple[dict, Column, float, float, float
         low, high = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
         within = F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
         entries.append((
-            {**labels, "q1": F.lit(q1), "median": F.lit(median), "q3": F.lit(q3)},
+            {**labels, "q1": q1, "median": median, "q3": q3},
             {"n": F.count(x), "mean": F.avg(x), "sd": F.stddev_samp(x), "lower_whisker": F.min(within),
              "upper_whisker": F.max(within), "outside": F.count_if((x < F.lit(low)) | (x > F.lit(high)))},
         ))

@@ -41,6 +41,10 @@ KIND_TYPES = {
 KIND_SCHEMA = "pos int, column string, kind string, confidence double, reason string, inferred_dtype string"
 
 
+# Facts gathered per column before deciding.
+EVIDENCE = {"n": "bigint", "tokens": "int", "numbers": "bigint", "dates": "bigint", "estimate": "bigint"}
+
+
 @dataclass(frozen=True)
 class Kind:
     column: str
@@ -73,7 +77,7 @@ def detect_kinds(df: DataFrame, exact_unique: bool = False) -> dict[str, Kind]:
     fields = df.schema.fields
     evidence = {
         r["column"]: r
-        for r in long_aggregate(df, [({"column": f.name}, _evidence(f)) for f in fields]).collect()
+        for r in long_aggregate(df, [({"column": f.name}, _evidence(f)) for f in fields], EVIDENCE).collect()
     }
     decided: dict[str, Kind] = {}
     open_fields = []
@@ -98,22 +102,16 @@ def _evidence(field: T.StructField) -> dict[str, Column]:
     dtype = field.dataType
     text = isinstance(dtype, T.StringType) or is_nested(dtype)
     evidence = {"n": F.count(col)}
-    if text or isinstance(dtype, (T.IntegralType, T.BooleanType)):
+    if text or isinstance(dtype, T.IntegralType):
         token = F.lower(strip(as_text(col, dtype))) if text else col.cast("string")
-        place = F.array_position(F.array(*[F.lit(t) for t in BOOL_TOKENS]), token)
-        evidence["tokens"] = F.bit_or(F.when(place > 0, F.call_function("shiftleft", F.lit(1), (place - 1).cast("int"))))
-        evidence["others"] = F.count_if(place == 0)
-    else:
-        evidence["tokens"] = F.max(F.lit(None).cast("int"))
-        evidence["others"] = F.count(col)
+        place = F.array_position(F.split(F.lit(" ".join(BOOL_TOKENS)), " "), token)
+        # Bit 0 stands for any other value, the rest for one token each.
+        evidence["tokens"] = F.bit_or(F.call_function("shiftleft", F.lit(1), place.cast("int")))
     if isinstance(dtype, T.StringType):
         evidence["numbers"] = F.count(as_number(col, dtype))
         evidence["dates"] = F.count(as_timestamp(col, dtype))
-        evidence["estimate"] = F.approx_count_distinct(col, 0.01)
-    else:
-        evidence["numbers"] = F.count(F.lit(None))
-        evidence["dates"] = F.count(F.lit(None))
-        evidence["estimate"] = F.approx_count_distinct(as_text(col, dtype), 0.01) if is_nested(dtype) else F.count(F.lit(None))
+    if text:
+        evidence["estimate"] = F.approx_count_distinct(as_text(col, dtype))
     return evidence
 
 
@@ -122,7 +120,7 @@ def _from_evidence(field: T.StructField, seen) -> Kind | None:
     shown = dtype.simpleString()
     if n and (
         isinstance(dtype, T.BooleanType)
-        or (seen["others"] == 0 and seen["tokens"] is not None and bin(seen["tokens"]).count("1") <= 2)
+        or (seen["tokens"] is not None and seen["tokens"] % 2 == 0 and bin(seen["tokens"]).count("1") <= 2)
     ):
         return Kind(name, "boolean", 0.95, "Low cardinality and values map to true/false", shown)
     if is_temporal(dtype):
@@ -131,9 +129,9 @@ def _from_evidence(field: T.StructField, seen) -> Kind | None:
         return Kind(name, "numerical", 0.95, "Numeric dtype", shown)
     if n == 0:
         return Kind(name, "text", 0.4, "Column is entirely empty", "empty")
-    if seen["numbers"] / n > NUMERIC_SHARE:
+    if (seen["numbers"] or 0) / n > NUMERIC_SHARE:
         return Kind(name, "numerical", 0.75, "Values look numeric but stored as text", f"{shown} (numeric-like)")
-    if seen["dates"] / n > DATETIME_SHARE:
+    if (seen["dates"] or 0) / n > DATETIME_SHARE:
         return Kind(name, "datetime", 0.9, f"{100 * seen['dates'] // n}% values parse as dates", shown)
     return None
 

@@ -49,7 +49,7 @@ def outliers(
     if not tests:
         return facts.df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
     entries = [
-        ({"column": c, "method": m, "lower": F.lit(low), "upper": F.lit(high), "cells": facts.summary[c]["numbers"]},
+        ({"column": c, "method": m, "lower": low, "upper": high, "cells": facts.summary[c]["numbers"]},
          {"outliers": F.count_if(hit)})
         for c, m, low, high, hit in tests
     ]

@@ -20,6 +20,14 @@ from assayframe.plans.quantiles import TASK_LIMIT, exact_quantiles
 from assayframe.plans.wide import long_aggregate
 
 
+# Shared aggregates per column; number facts are NULL for other kinds, and so are date facts.
+SUMMARY = {
+    "rows": "bigint", "n": "bigint", "numbers": "bigint", "finite": "bigint", "mean": "double", "sigma": "double",
+    "g1": "double", "g2": "double", "low": "double", "high": "double", "stamps": "bigint",
+    "first_ts": "timestamp_ntz", "last_ts": "timestamp_ntz",
+}
+
+
 class Facts:
     """A table together with its column kinds and shared aggregates.
 
@@ -92,41 +100,28 @@ class Facts:
     def summary(self) -> dict[str, dict]:
         """Counts, moments and extremes per column: one scan, one row per column."""
         entries = [({"column": c}, self._summary_aggregates(c)) for c in self.columns]
-        return {r["column"]: r.asDict() for r in long_aggregate(self.df, entries).collect()}
+        return {r["column"]: r.asDict() for r in long_aggregate(self.df, entries, SUMMARY).collect()}
 
     def _summary_aggregates(self, c: str) -> dict[str, Column]:
         kind = self.kinds[c].kind
-        number = self.number(c) if kind == "numerical" else F.lit(None).cast("double")
-        stamp = self.timestamp(c) if kind == "datetime" else F.lit(None).cast("timestamp_ntz")
-        return {
-            "rows": F.count(F.lit(1)),
-            "n": F.count(self.col(c)),
-            "numbers": F.count(number),
-            "finite": F.count_if(F.abs(number) < float("inf")),
-            "mean": F.avg(number),
-            "sigma": F.stddev_pop(number),
-            "g1": F.skewness(number),
-            "g2": F.kurtosis(number),
-            "low": F.min(number),
-            "high": F.max(number),
-            "stamps": F.count(stamp),
-            "first_ts": F.min(stamp),
-            "last_ts": F.max(stamp),
-        }
+        out = {"rows": F.count(F.lit(1)), "n": F.count(self.col(c))}
+        if kind == "numerical":
+            x = self.number(c)
+            out.update({
+                "numbers": F.count(x), "finite": F.count_if(F.abs(x) < float("inf")), "mean": F.avg(x),
+                "sigma": F.stddev_pop(x), "g1": F.skewness(x), "g2": F.kurtosis(x), "low": F.min(x), "high": F.max(x),
+            })
+        elif kind == "datetime":
+            ts = self.timestamp(c)
+            out.update({"stamps": F.count(ts), "first_ts": F.min(ts), "last_ts": F.max(ts)})
+        return out
 
     @cached_property
     def summary_frame(self) -> DataFrame:
         """The summary as a table ``(pos, column, kind, rows, n, ...)``."""
-        schema = (
-            "pos int, column string, kind string, rows bigint, n bigint, numbers bigint, finite bigint, mean double, "
-            "sigma double, g1 double, g2 double, low double, high double, stamps bigint, "
-            "first_ts timestamp_ntz, last_ts timestamp_ntz"
-        )
+        schema = "pos int, column string, kind string, " + ", ".join(f"{k} {t}" for k, t in SUMMARY.items())
         rows = [
-            (i, c, self.kinds[c].kind, *[self.summary[c][k] for k in (
-                "rows", "n", "numbers", "finite", "mean", "sigma", "g1", "g2", "low", "high", "stamps", "first_ts", "last_ts"
-            )])
-            for i, c in enumerate(self.columns)
+            (i, c, self.kinds[c].kind, *[self.summary[c][k] for k in SUMMARY]) for i, c in enumerate(self.columns)
         ]
         return self.df.sparkSession.createDataFrame(rows, schema)
 

@@ -14,19 +14,19 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def long_aggregate(df: DataFrame, entries: list[tuple[dict, dict]]) -> DataFrame:
+def long_aggregate(df: DataFrame, entries: list[tuple[dict, dict]], types: dict[str, str] | None = None) -> DataFrame:
     """Aggregate ``df`` once and return one row per entry.
 
     Each entry is ``(labels, aggregates)``: literal columns and aggregate
-    expressions. All entries must carry the same names. The scan is shared; only
-    tables whose expression count exceeds ``MAX_EXPRESSIONS`` are split, and
-    column pruning keeps each part to its own columns.
+    expressions. ``types`` names aggregates that an entry may leave out; they
+    are NULL there and cost nothing. The scan is shared; only tables whose
+    expression count exceeds ``MAX_EXPRESSIONS`` are split, and column pruning
+    keeps each part to its own columns.
     """
-    per_entry = max(1, len(entries[0][1]))
-    size = max(1, MAX_EXPRESSIONS // per_entry)
+    names = list(dict.fromkeys(name for _, aggs in entries for name in aggs))
+    names = list(types) if types else names
     parts = []
-    for start in range(0, len(entries), size):
-        block = entries[start : start + size]
+    for block in _blocks(entries):
         row = df.agg(
             *[
                 expr.alias(f"e{i}_{name}")
@@ -34,17 +34,43 @@ def long_aggregate(df: DataFrame, entries: list[tuple[dict, dict]]) -> DataFrame
                 for name, expr in aggs.items()
             ]
         )
+        # Built as one SQL text: per-field Column calls would cost more than the query on small tables.
         rows = [
-            F.struct(
-                *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in labels.items()],
-                *[F.col(f"e{i}_{name}").alias(name) for name in aggs],
+            "named_struct("
+            + ", ".join(
+                [f"'{k}', {sql_literal(v)}" for k, v in labels.items()]
+                + [f"'{n}', " + (f"e{i}_{n}" if n in aggs else f"CAST(NULL AS {types[n]})") for n in names]
             )
+            + ")"
             for i, (labels, aggs) in enumerate(block)
         ]
-        parts.append(row.select(F.inline(F.array(*rows))))
+        parts.append(row.selectExpr(f"inline(array({', '.join(rows)}))"))
     return union_all(parts)
 
 
+def sql_literal(value: str | int | float | None) -> str:
+    """SQL text of a Python scalar."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    return str(value)
+
+
+def _blocks(entries: list[tuple[dict, dict]]) -> list[list[tuple[dict, dict]]]:
+    blocks, size = [[]], 0
+    for entry in entries:
+        if size and size + len(entry[1]) > MAX_EXPRESSIONS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(entry)
+        size += len(entry[1])
+    return blocks
+
+
 def unpivot_text(df: DataFrame, views: dict[str, Column]) -> DataFrame:
     """``(column, value)`` for every non-null cell of the given text views."""
     cells = F.array(
