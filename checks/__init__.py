@@ -1 +1,7 @@
 """The registered checks: each Spark query with the SQL that must give the same rows."""
+
+from checks.registry import CHECKS
+import checks.profile_checks  # noqa: F401, E402
+import checks.quality_checks  # noqa: F401, E402
+
+__all__ = ["CHECKS"]
