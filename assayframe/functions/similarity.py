@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def ratio_function() -> Callable[[str, str], float]:
+    """A plain ratio function that travels to the workers by value.
+
+    One big-integer bit vector holds a whole row of the longest-common-
+    subsequence programme.
+    """
+
+    def ratio(a: str, b: str) -> float:
+        if not a and not b:
+            return 100.0
+        places: dict = {}
+        for i, ch in enumerate(a):
+            places[ch] = places.get(ch, 0) | (1 << i)
+        full = (1 << len(a)) - 1
+        row = full
+        for ch in b:
+            hits = row & places.get(ch, 0)
+            row = ((row + hits) | (row - hits)) & full
+        return 200.0 * (len(a) - bin(row).count("1")) / (len(a) + len(b))
+
+    return ratio
+
+
 def lcs_ratio(left: Column, right: Column) -> Column:
     """Similarity of two labels on the 0-100 scale.
 
-    Spark has no longest-common-subsequence function (``levenshtein`` also
-    counts substitutions), so this is an Arrow-batched UDF. One big-integer bit
-    vector per pair holds a whole row of the dynamic programme.
+    Spark's ``levenshtein`` also counts substitutions and is a different
+    measure, so this is an Arrow-batched UDF.
     """
+    ratio = ratio_function()
 
     @F.pandas_udf("double")
-    def ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-        def score(a: str, b: str) -> float:
-            if not a and not b:
-                return 100.0
-            places: dict = {}
-            for i, ch in enumerate(a):
-                places[ch] = places.get(ch, 0) | (1 << i)
-            full = (1 << len(a)) - 1
-            row = full
-            for ch in b:
-                hits = row & places.get(ch, 0)
-                row = ((row + hits) | (row - hits)) & full
-            common = len(a) - bin(row).count("1")
-            return 200.0 * common / (len(a) + len(b))
-
-        return pd.Series([score(a, b) for a, b in zip(first, second)], dtype="float64")
-
-    return ratio(left, right)
+    def ratios(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([ratio(a, b) for a, b in zip(first, second)], dtype="float64")
+
+    return ratios(left, right)

@@ -1,29 +1,37 @@
 """Merging near-duplicate labels.
 
 Labels are taken in order of (length, text); each joins the first earlier
-representative it resembles, or becomes a representative itself. That greedy
-outcome is the lexicographically first maximal independent set of the similarity
-graph, which can be found in parallel rounds (Blelloch, Fineman and Shun, SPAA
-2012): a label is a member once one earlier neighbour is a representative, and a
-representative once all its earlier neighbours are members.
-
-Similar pairs come from an equi-join on label segments (Li, Deng, Wang and Feng,
-PVLDB 2011), never from comparing all pairs: if at most k characters are
-inserted or deleted, one of k + 1 segments of the shorter label is left intact
-and appears in the longer one at nearly the same place. Each label takes part
-once, however often it occurs, so hot labels cost nothing extra.
+representative it resembles, or becomes a representative itself. The work is on
+distinct labels, so hot labels cost nothing extra, and it goes in blocks: the
+first open labels of a column, a fixed number of them, are settled in order in
+one task; all other open labels are then compared with the new representatives
+where they are, and those that match leave. A label only ever meets
+representatives, so no group of similar labels is paired off with itself.
+
+Which representatives a label is compared with comes from segments (Li, Deng,
+Wang and Feng, PVLDB 2011): if at most k characters are inserted or deleted, one
+of k + 1 segments of the shorter label is left intact and appears in the longer
+one at nearly the same place.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayframe.functions.similarity import lcs_ratio
+from assayframe.functions.similarity import lcs_ratio, ratio_function
 from assayframe.plans.durable import durable
+from assayframe.plans.frequency import top_per_group
+from assayframe.plans.wide import union_all
 
 # Fixed value: default similarity from which labels are merged.
 THRESHOLD = 88
 
+# Labels of one column settled in order by one task.
+BLOCK = 1000
+
+MAP_SCHEMA = "column string, label string, canonical string"
+
 
 def _max_partner_length(length: Column, t: int) -> Column:
     """Longest label that can still reach the threshold with one of ``length``."""
@@ -102,46 +110,57 @@ def _probe_keys(labels: DataFrame, t: int) -> DataFrame:
     return sized.where("deleted >= 0").select("column", F.col("label").alias("later"), "len_a", F.inline(keys))
 
 
-def similar_pairs(labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``(column, earlier, later)`` for all pairs of distinct labels at or above the threshold."""
-    candidates = (
-        _index_keys(labels, threshold)
-        .join(_probe_keys(labels, threshold), ["column", "len_a", "seg", "piece"])
-        .where(F.struct(F.length("earlier"), F.col("earlier")) < F.struct(F.length("later"), F.col("later")))
-        .select("column", "earlier", "later")
-        .distinct()
-    )
-    return candidates.where(lcs_ratio(F.col("earlier"), F.col("later")) >= threshold)
+def _settle_block(head: DataFrame, threshold: int) -> DataFrame:
+    """``(column, label, canonical)`` for one block of labels, a bounded group per column."""
+    ratio = ratio_function()
 
+    def settle(block: pd.DataFrame) -> pd.DataFrame:
+        chosen: list = []
+        canonical = []
+        ordered = sorted(block["label"], key=lambda label: (len(label), label))
+        for label in ordered:
+            match = next((rep for rep in chosen if ratio(rep, label) >= threshold), None)
+            if match is None:
+                chosen.append(label)
+            canonical.append(label if match is None else match)
+        return pd.DataFrame({"column": block["column"].iloc[0], "label": ordered, "canonical": canonical})
 
-def label_map(labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``(column, label, canonical)`` for every label that joins another one.
+    return head.groupBy("column").applyInPandas(settle, MAP_SCHEMA)
 
-    ``labels`` holds distinct ``(column, label)`` rows. Every round settles at
-    least the first open label of each connected group, so the loop ends.
-    """
-    edges = durable(similar_pairs(labels, threshold))
-    open_edges = edges
-    fresh = edges.select("column", F.col("earlier").alias("label")).distinct().join(
-        edges.select("column", F.col("later").alias("label")), ["column", "label"], "left_anti"
+
+def _nearest(representatives: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """The first representative each label resembles, if any."""
+    # At most one block of representatives per column: bounded.
+    index = F.broadcast(_index_keys(representatives, threshold))
+    candidates = (
+        _probe_keys(labels, threshold).join(index, ["column", "len_a", "seg", "piece"])
+        .groupBy("column", "later").agg(F.collect_set("earlier").alias("earlier"))
+        .select("column", "later", F.explode("earlier").alias("earlier"))
     )
-    representatives = fresh
-    while not open_edges.isEmpty():
-        fresh_as = fresh.withColumnRenamed("label", "earlier")
-        members = open_edges.join(fresh_as, ["column", "earlier"], "left_semi").select("column", "later").distinct()
-        undecided = open_edges.join(members, ["column", "later"], "left_anti")
-        remaining = undecided.join(members.withColumnRenamed("later", "earlier"), ["column", "earlier"], "left_anti")
-        fresh = durable(
-            undecided.select("column", "later").distinct()
-            .join(remaining.select("column", "later"), ["column", "later"], "left_anti")
-            .withColumnRenamed("later", "label")
-        )
-        open_edges = durable(remaining)
-        representatives = representatives.unionByName(fresh)
-    chosen = representatives.withColumnRenamed("label", "earlier")
     return (
-        edges.join(chosen, ["column", "earlier"], "left_semi")
-        .join(representatives.withColumnRenamed("label", "later"), ["column", "later"], "left_anti")
+        candidates.where(lcs_ratio(F.col("earlier"), F.col("later")) >= threshold)
         .groupBy("column", F.col("later").alias("label"))
         .agg(F.min_by("earlier", F.struct(F.length("earlier"), F.col("earlier"))).alias("canonical"))
     )
+
+
+def label_map(labels: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``(column, label, canonical)`` for every label that joins another one.
+
+    ``labels`` holds distinct ``(column, label)`` rows. Each round settles a
+    block of every column, so the loop ends.
+    """
+    open_labels = durable(labels)
+    found = []
+    while True:
+        order = [F.length("label").asc(), F.asc("label")]
+        head = top_per_group(open_labels, ["column"], order, block, rank="_place").drop("_place")
+        settled = durable(_settle_block(head, threshold))
+        found.append(settled.where("label <> canonical"))
+        rest = open_labels.join(F.broadcast(settled.select("column", "label")), ["column", "label"], "left_anti")
+        if rest.isEmpty():
+            return union_all(found)
+        representatives = settled.where("label = canonical").select("column", "label")
+        joined = durable(_nearest(representatives, rest, threshold))
+        found.append(joined.select("column", "label", "canonical"))
+        open_labels = durable(rest.join(joined.select("column", "label"), ["column", "label"], "left_anti"))
