@@ -12,7 +12,7 @@ from assayframe.operators.outliers import IQR_FACTOR
 from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group
 from assayframe.plans.quantiles import exact_quantiles
-from assayframe.plans.wide import long_aggregate
+from assayframe.plans.wide import long_aggregate, small_frame
 
 # Chart sizes.
 DEFAULT_BINS = 20
@@ -49,7 +49,7 @@ def histogram(table: Facts | DataFrame, column: str, bins: int | None = DEFAULT_
     low, high = facts.summary[column]["low"], facts.summary[column]["high"]
     spark = facts.df.sparkSession
     if low is None:
-        return spark.createDataFrame([], "bin bigint, lower double, upper double, n bigint")
+        return small_frame(spark, [], "bin bigint, lower double, upper double, n bigint")
     width = (high - low) / bins if high > low else 1.0
     x = facts.number(column)
     place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1).cast("bigint"))
@@ -85,7 +85,7 @@ def box_summary(table: Facts | DataFrame, columns: list[str] | None = None) -> D
     found = facts.quantiles([0.25, 0.5, 0.75], columns)
     boxes = [({"column": c}, facts.number(c), found[c][0.25], found[c][0.5], found[c][0.75]) for c in columns]
     if not boxes:
-        return facts.df.sparkSession.createDataFrame([], f"column string, {BOX_SCHEMA}")
+        return small_frame(facts.df.sparkSession, [], f"column string, {BOX_SCHEMA}")
     return _box_rows(facts.df, boxes)
 
 
@@ -104,7 +104,7 @@ def grouped_box(table: Facts | DataFrame, number: str, label: str, top: int = BO
     facts = Facts.of(table)
     x, text = facts.number(number), facts.text(label)
     views = {v: F.when(text == v, x) for v in _top_labels(facts, label, top)}
-    empty = facts.df.sparkSession.createDataFrame([], f"label string, {BOX_SCHEMA}")
+    empty = small_frame(facts.df.sparkSession, [], f"label string, {BOX_SCHEMA}")
     if not views:
         return empty
     entries = [({"label": v}, {"n": F.count(view), "low": F.min(view), "high": F.max(view)}) for v, view in views.items()]
@@ -238,7 +238,7 @@ def interesting_categories(table: Facts | DataFrame) -> DataFrame:
     facts = Facts.of(table)
     n = F.col("n_unique")
     score = F.when(n < 2, 0).when(n <= 12, 100).when(n <= 50, 50).otherwise(20)
-    places = facts.df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(facts.labelled)], "seq int, column string")
+    places = small_frame(facts.df.sparkSession, [(i, c) for i, c in enumerate(facts.labelled)], "seq int, column string")
     return (
         places.join(category_labels(facts).select("column", "n_unique"), "column")
         .select("seq", "column", "n_unique", score.alias("score")).orderBy(F.desc("score"), "seq")
@@ -279,4 +279,4 @@ def chart_plan(table: Facts | DataFrame, max_charts: int = MAX_CHARTS) -> DataFr
             shape = {"num-num": "scatter", "num-cat": "grouped box", "cat-cat": "stacked bar"}[r["type"]]
             plan.append((shape, f"{r['x']}, {r['y']}", f"{r['metric_name']} = {r['metric']:.2f} ({r['detail']})"))
     rows = [(i, *p) for i, p in enumerate(plan[:max_charts])]
-    return spark.createDataFrame(rows, "seq int, chart string, columns string, reason string")
+    return small_frame(spark, rows, "seq int, chart string, columns string, reason string")

@@ -17,7 +17,7 @@ from assayframe.functions.stats import (
 )
 from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group
-from assayframe.plans.wide import MAX_EXPRESSIONS, long_aggregate, union_all
+from assayframe.plans.wide import MAX_EXPRESSIONS, long_aggregate, small_frame, union_all
 
 # Report sizes and thresholds.
 TOP_LABELS = 15
@@ -43,7 +43,7 @@ def numeric_modes(table: Facts | DataFrame) -> DataFrame:
     facts = Facts.of(table)
     spark = facts.df.sparkSession
     if not facts.numeric:
-        return spark.createDataFrame([], "column string, mode double")
+        return small_frame(spark, [], "column string, mode double")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), facts.number(c).alias("v")) for c in facts.numeric])
     return (
         facts.df.select(F.inline(cells)).where(F.col("v").isNotNull())
@@ -60,7 +60,7 @@ def numeric_shape(table: Facts | DataFrame) -> DataFrame:
         (i, c, q.get(0.25), q.get(0.5), q.get(0.75))
         for i, (c, q) in enumerate((c, quartiles[c]) for c in facts.numeric)
     ]
-    found = facts.df.sparkSession.createDataFrame(rows, "seq int, column string, q25 double, q50 double, q75 double")
+    found = small_frame(facts.df.sparkSession, rows, "seq int, column string, q25 double, q50 double, q75 double")
     n = F.col("numbers")
     std = F.when(n > 1, F.col("sigma") * F.sqrt(n / (n - 1)))
     skew = sample_skewness(F.col("g1"), n)
@@ -89,7 +89,7 @@ def category_labels(table: Facts | DataFrame) -> DataFrame:
     """Distinct labels, dominance and a concentration label per categorical or boolean column."""
     facts = Facts.of(table)
     total = F.lit(facts.rows)
-    every = facts.df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(facts.labelled)], "seq int, column string")
+    every = small_frame(facts.df.sparkSession, [(i, c) for i, c in enumerate(facts.labelled)], "seq int, column string")
     seen = facts.counts(facts.labelled).groupBy("column").agg(
         F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("most"), F.min("n").alias("least")
     )
@@ -144,7 +144,7 @@ def correlation_pairs(table: Facts | DataFrame, columns: list[str] | None = None
     columns = facts.numeric if columns is None else columns
     pairs = list(combinations(columns, 2))
     if not pairs:
-        return facts.df.sparkSession.createDataFrame([], "x string, y string, n bigint, r double")
+        return small_frame(facts.df.sparkSession, [], "x string, y string, n bigint, r double")
     entries = []
     for a, b in pairs:
         x, y = _centred(facts, a), _centred(facts, b)
@@ -176,7 +176,7 @@ def correlation_matrix(table: Facts | DataFrame) -> DataFrame:
         (c, c, None if facts.summary[c]["numbers"] < 2 or facts.summary[c]["low"] == facts.summary[c]["high"] else 1.0)
         for c in facts.numeric
     ]
-    diagonal = facts.df.sparkSession.createDataFrame(own, "x string, y string, r double")
+    diagonal = small_frame(facts.df.sparkSession, own, "x string, y string, r double")
     return pairs.select(F.inline(both)).unionByName(diagonal)
 
 
@@ -202,12 +202,12 @@ def eta(table: Facts | DataFrame, max_levels: int = ETA_LEVELS) -> DataFrame:
     """
     facts = Facts.of(table)
     if not facts.labelled or not facts.numeric:
-        return facts.df.sparkSession.createDataFrame([], "cat string, num string, n bigint, eta double")
+        return small_frame(facts.df.sparkSession, [], "cat string, num string, n bigint, eta double")
     levels = facts.counts(facts.labelled).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()
     few = {r["column"] for r in levels if 2 <= r["u"] <= max_levels}
     cats = [c for c in facts.labelled if c in few]
     if not cats:
-        return facts.df.sparkSession.createDataFrame([], "cat string, num string, n bigint, eta double")
+        return small_frame(facts.df.sparkSession, [], "cat string, num string, n bigint, eta double")
     cells = F.array(*[F.struct(F.lit(c).alias("cat"), facts.text(c).alias("level")) for c in cats])
     per_block = max(1, MAX_EXPRESSIONS // 3)
     parts = []
@@ -248,7 +248,7 @@ def contingency(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None =
     facts = Facts.of(table)
     pairs = list(combinations(facts.labelled, 2))[:max_pairs] if pairs is None else pairs
     if not pairs:
-        return facts.df.sparkSession.createDataFrame([], "x string, y string, a string, b string, n bigint")
+        return small_frame(facts.df.sparkSession, [], "x string, y string, a string, b string, n bigint")
     cells = F.array(*[
         F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), facts.text(x).alias("a"), facts.text(y).alias("b")) for x, y in pairs
     ])

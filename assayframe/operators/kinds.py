@@ -17,7 +17,7 @@ from assayframe.functions.coerce import (
 )
 from assayframe.plans.duplicates import comparable
 from assayframe.plans.frequency import value_counts
-from assayframe.plans.wide import long_aggregate
+from assayframe.plans.wide import long_aggregate, small_frame
 
 # Decision thresholds.
 NUMERIC_SHARE = 0.75
@@ -56,7 +56,7 @@ class Kind:
 
 def kinds_frame(df: DataFrame, kinds: dict[str, Kind]) -> DataFrame:
     rows = [(i, k.column, k.kind, k.confidence, k.reason, k.dtype) for i, k in enumerate(kinds.values())]
-    return df.sparkSession.createDataFrame(rows, KIND_SCHEMA)
+    return small_frame(df.sparkSession, rows, KIND_SCHEMA)
 
 
 def hash_sample(df: DataFrame, key: str, keep_in: int) -> DataFrame:

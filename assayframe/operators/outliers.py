@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.functions.coerce import percent, rounded
 from assayframe.plans.facts import Facts
-from assayframe.plans.wide import long_aggregate
+from assayframe.plans.wide import long_aggregate, small_frame
 
 # A column is tested from this many cells on; default sensitivities.
 MIN_CELLS = 6
@@ -47,7 +47,7 @@ def outliers(
     facts = Facts.of(table)
     tests = [t for t in outlier_tests(facts, iqr_factor, z_threshold) if method in ("Both", t[1])]
     if not tests:
-        return facts.df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
+        return small_frame(facts.df.sparkSession, [], OUTLIER_SCHEMA)
     entries = [
         ({"column": c, "method": m, "lower": low, "upper": high, "cells": facts.summary[c]["numbers"]},
          {"outliers": F.count_if(hit)})
@@ -79,6 +79,6 @@ def outlier_rows(
         if method in ("Both", m)
     ]
     if not hits:
-        return facts.df.sparkSession.createDataFrame([], "row_id string, column string, method string, value double")
+        return small_frame(facts.df.sparkSession, [], "row_id string, column string, method string, value double")
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     return facts.df.select(F.col(facts.order_by).alias("row_id"), F.inline(found))

@@ -8,7 +8,7 @@ from assayframe.functions.coerce import percent, rounded
 from assayframe.functions.stats import sample_kurtosis, sample_skewness
 from assayframe.operators.kinds import KIND_TYPES, kinds_frame
 from assayframe.plans.facts import Facts
-from assayframe.plans.wide import long_aggregate
+from assayframe.plans.wide import long_aggregate, small_frame
 
 PROFILE_COLUMNS = [
     "column", "inferred_dtype", "count", "unique", "missing", "missing_pct", "mean", "std", "min", "max",
@@ -50,8 +50,7 @@ def numeric_moments(table: Facts | DataFrame) -> DataFrame:
              "g1": F.skewness(x), "g2": F.kurtosis(x)},
         ))
     if not entries:
-        return facts.df.sparkSession.createDataFrame(
-            [], "column string, mean double, std double, min double, max double, skew double, kurtosis double"
+        return small_frame(facts.df.sparkSession, [], "column string, mean double, std double, min double, max double, skew double, kurtosis double"
         )
     return long_aggregate(facts.df, entries).select(
         "column",
@@ -97,7 +96,7 @@ def datetime_ranges(table: Facts | DataFrame) -> DataFrame:
         ts = facts.timestamp(c)
         entries.append(({"column": c}, {"earliest": F.min(ts), "latest": F.max(ts)}))
     if not entries:
-        return facts.df.sparkSession.createDataFrame([], "column string, earliest timestamp_ntz, latest timestamp_ntz")
+        return small_frame(facts.df.sparkSession, [], "column string, earliest timestamp_ntz, latest timestamp_ntz")
     return long_aggregate(facts.df, entries)
 
 
@@ -106,7 +105,7 @@ def boolean_shares(table: Facts | DataFrame) -> DataFrame:
     facts = Facts.of(table)
     entries = [({"column": c}, {"share": F.avg(facts.boolean(c).cast("int"))}) for c in facts.of_kind("boolean")]
     if not entries:
-        return facts.df.sparkSession.createDataFrame([], "column string, true_share double")
+        return small_frame(facts.df.sparkSession, [], "column string, true_share double")
     return long_aggregate(facts.df, entries).select("column", rounded(F.col("share"), 3).alias("true_share"))
 
 
@@ -137,7 +136,7 @@ def shape(table: Facts | DataFrame) -> DataFrame:
 def kind_counts(table: Facts | DataFrame) -> DataFrame:
     """Columns per kind, every kind listed."""
     facts = Facts.of(table)
-    every = facts.df.sparkSession.createDataFrame([(k,) for k in KIND_TYPES], "kind string")
+    every = small_frame(facts.df.sparkSession, [(k,) for k in KIND_TYPES], "kind string")
     found = kinds_frame(facts.df, facts.kinds).groupBy("kind").agg(F.count(F.lit(1)).alias("found"))
     return every.join(found, "kind", "left").select("kind", F.coalesce("found", F.lit(0)).alias("n_columns"))
 
@@ -147,7 +146,7 @@ def dtype_counts(table: Facts | DataFrame) -> DataFrame:
     facts = Facts.of(table)
     rows = [(facts.dtype(c).simpleString(),) for c in facts.columns]
     return (
-        facts.df.sparkSession.createDataFrame(rows, "dtype string")
+        small_frame(facts.df.sparkSession, rows, "dtype string")
         .groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
     )
 
@@ -156,7 +155,7 @@ def parse_types(table: Facts | DataFrame) -> DataFrame:
     """Spark type each column should be parsed with, by its kind."""
     facts = Facts.of(table)
     rows = [(c, k.kind, KIND_TYPES[k.kind].simpleString()) for c, k in facts.kinds.items()]
-    return facts.df.sparkSession.createDataFrame(rows, "column string, kind string, target_dtype string")
+    return small_frame(facts.df.sparkSession, rows, "column string, kind string, target_dtype string")
 
 
 def size_estimate(table: Facts | DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from assayframe.operators.missing import missing_totals
 from assayframe.operators.outliers import IQR_FACTOR, outliers
 from assayframe.operators.validation import type_issues, validate
 from assayframe.plans.facts import Facts
-from assayframe.plans.wide import union_all
+from assayframe.plans.wide import small_frame, union_all
 
 # Dimension weights, in report order.
 WEIGHTS = {"completeness": 0.25, "uniqueness": 0.15, "validity": 0.20, "consistency": 0.20, "accuracy": 0.20}
@@ -88,7 +88,7 @@ def quality_score(
     weights = weights or WEIGHTS
     if facts.rows == 0:
         rows = [(d, 0.0, weights[d], "Critical", "Empty dataframe") for d in WEIGHTS] + [("overall", 0.0, 1.0, "Critical", "Empty dataframe")]
-        return facts.df.sparkSession.createDataFrame(rows, "dimension string, score double, weight double, grade string, detail string")
+        return small_frame(facts.df.sparkSession, rows, "dimension string, score double, weight double, grade string, detail string")
     dims = _dimensions(facts.rows, facts.rows * len(facts.columns))
     scored = _measures(facts, as_of, iqr_factor).select(
         *[rounded(F.greatest(F.lit(0.0), score), 1).alias(d) for d, (score, _) in dims.items()],

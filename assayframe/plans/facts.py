@@ -17,7 +17,7 @@ from assayframe.operators.kinds import Kind, detect_kinds
 from assayframe.plans.duplicates import comparable
 from assayframe.plans.frequency import value_counts
 from assayframe.plans.quantiles import TASK_LIMIT, exact_quantiles
-from assayframe.plans.wide import long_aggregate
+from assayframe.plans.wide import long_aggregate, small_frame
 
 
 # Shared aggregates per column; number facts are NULL for other kinds, and so are date facts.
@@ -123,7 +123,7 @@ class Facts:
         rows = [
             (i, c, self.kinds[c].kind, *[self.summary[c][k] for k in SUMMARY]) for i, c in enumerate(self.columns)
         ]
-        return self.df.sparkSession.createDataFrame(rows, schema)
+        return small_frame(self.df.sparkSession, rows, schema)
 
     @property
     def rows(self) -> int:
@@ -153,7 +153,7 @@ class Facts:
     def counts(self, columns: list[str]) -> DataFrame:
         """``(column, value, n)`` over the non-null cells of the given columns."""
         if not columns:
-            return self.df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+            return small_frame(self.df.sparkSession, [], "column string, value string, n bigint")
         if self._shared is not None and set(columns) <= set(self.of_kind("categorical", "text", "boolean")):
             return self._shared.where(F.col("column").isin(columns))
         return value_counts(self.df, {c: self.text(c) for c in columns})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Expressions per aggregate; beyond this the generated code gets too large to compile.
 MAX_EXPRESSIONS = 300
@@ -48,10 +49,24 @@ def long_aggregate(df: DataFrame, entries: list[tuple[dict, dict]], types: dict[
     return union_all(parts)
 
 
-def sql_literal(value: str | int | float | None) -> str:
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a table whose size the optimizer knows.
+
+    Rows made into an RDD have no known size, so joins with them would shuffle.
+    """
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    names = ", ".join(f"`{n}`" for n, _ in fields)
+    typed = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in fields)
+    values = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows) or "(" + ", ".join("NULL" for _ in fields) + ")"
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})" + ("" if rows else " WHERE false"))
+
+
+def sql_literal(value: str | int | float | dt.datetime | None) -> str:
     """SQL text of a Python scalar."""
     if value is None:
         return "NULL"
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
     if isinstance(value, str):
         escaped = value.replace("\\", "\\\\").replace("'", "\\'")
         return f"'{escaped}'"

@@ -4,5 +4,7 @@ from checks.registry import CHECKS
 import checks.profile_checks  # noqa: F401, E402
 import checks.quality_checks  # noqa: F401, E402
 import checks.clean_checks  # noqa: F401, E402
+import checks.eda_checks  # noqa: F401, E402
+import checks.chart_checks  # noqa: F401, E402
 
 __all__ = ["CHECKS"]
