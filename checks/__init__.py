@@ -6,5 +6,7 @@ import checks.quality_checks  # noqa: F401, E402
 import checks.clean_checks  # noqa: F401, E402
 import checks.eda_checks  # noqa: F401, E402
 import checks.chart_checks  # noqa: F401, E402
+import checks.insight_checks  # noqa: F401, E402
+import checks.source_checks  # noqa: F401, E402
 
 __all__ = ["CHECKS"]
