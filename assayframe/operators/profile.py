@@ -52,14 +52,16 @@ def numeric_moments(table: Facts | DataFrame) -> DataFrame:
     if not entries:
         return small_frame(facts.df.sparkSession, [], "column string, mean double, std double, min double, max double, skew double, kurtosis double"
         )
+    # Merging the partial moments of a constant column may leave rounding noise.
+    varied = F.col("min") < F.col("max")
     return long_aggregate(facts.df, entries).select(
         "column",
         rounded(F.col("m"), 3).alias("mean"),
-        F.when(F.col("n") > 1, rounded(F.col("s"), 4)).alias("std"),
+        F.when(F.col("n") > 1, F.when(varied, rounded(F.col("s"), 4)).otherwise(0.0)).alias("std"),
         "min",
         "max",
-        F.when(F.col("n") > 3, rounded(sample_skewness(F.col("g1"), F.col("n")), 3)).alias("skew"),
-        rounded(sample_kurtosis(F.col("g2"), F.col("n")), 3).alias("kurtosis"),
+        F.when(F.col("n") > 3, rounded(sample_skewness(F.when(varied, F.col("g1")), F.col("n")), 3)).alias("skew"),
+        rounded(sample_kurtosis(F.when(varied, F.col("g2")), F.col("n")), 3).alias("kurtosis"),
     )
 
 

@@ -100,7 +100,12 @@ class Facts:
     def summary(self) -> dict[str, dict]:
         """Counts, moments and extremes per column: one scan, one row per column."""
         entries = [({"column": c}, self._summary_aggregates(c)) for c in self.columns]
-        return {r["column"]: r.asDict() for r in long_aggregate(self.df, entries, SUMMARY).collect()}
+        found = {r["column"]: r.asDict() for r in long_aggregate(self.df, entries, SUMMARY).collect()}
+        for seen in found.values():
+            if seen["low"] is not None and seen["low"] == seen["high"]:
+                # A constant column: merging partial moments may leave rounding noise.
+                seen.update(mean=seen["low"], sigma=0.0, g1=None, g2=None)
+        return found
 
     def _summary_aggregates(self, c: str) -> dict[str, Column]:
         kind = self.kinds[c].kind
