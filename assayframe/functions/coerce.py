@@ -32,6 +32,7 @@ PHONE_PATTERN = r"^\+?\d[\d\s().-]{6,}$"
 
 # ISO dates with an optional time of day; slash dates are rewritten to ISO first.
 ISO_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+SHORTEST_DATE = 8  # 2024-1-5
 SLASH_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})"
 SLASH_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
 NAMED_MONTH_FORMATS = {
@@ -42,7 +43,8 @@ NAMED_MONTH_FORMATS = {
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not just spaces."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    padded = text.rlike(r"(?U)^\s|\s$|^[\x1c-\x1f]|[\x1c-\x1f]$")
+    return F.when(padded, F.btrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def normalise_label(text: Column) -> Column:
@@ -67,15 +69,31 @@ def present(col: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(col), col) if is_float(dtype) else col
 
 
+def text_number(stripped: Column) -> Column:
+    """DOUBLE view of stripped text; thousands, currency and percent marks are dropped first."""
+    bare = F.translate(stripped, ",$%", "")
+    return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+
+
+def text_timestamp(stripped: Column) -> Column:
+    """TIMESTAMP_NTZ view of stripped date-like text; the gate spares other text the patterns."""
+    dashed = F.regexp_replace(F.regexp_replace(stripped, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_MONTH_FIRST, "$3-$1-$2")
+    iso = F.when(stripped.contains("/"), dashed).otherwise(stripped)
+    view = F.when(iso.rlike(ISO_TIMESTAMP), iso.try_cast("timestamp_ntz"))
+    for shape, pattern in NAMED_MONTH_FORMATS.items():
+        spaced = F.regexp_replace(stripped, "-", " ")
+        view = view.when(stripped.rlike(shape), F.try_to_date(spaced, pattern).cast("timestamp_ntz"))
+    return F.when((F.length(stripped) >= SHORTEST_DATE) & stripped.rlike(r"\d{4}"), view)
+
+
 def as_number(col: Column, dtype: T.DataType) -> Column:
-    """DOUBLE view; text loses thousands, currency and percent marks first."""
+    """DOUBLE view of numbers, booleans and number-like text."""
     if is_float(dtype):
         return present(col, dtype).cast("double")
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
     if isinstance(dtype, T.StringType):
-        bare = F.translate(strip(col), ",$%", "")
-        return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+        return text_number(strip(col))
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("double")
     return F.lit(None).cast("double")
@@ -87,16 +105,9 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
         return col
     if is_temporal(dtype):
         return col.cast("timestamp_ntz")
-    if not isinstance(dtype, T.StringType):
-        return F.lit(None).cast("timestamp_ntz")
-    text = strip(col)
-    dashed = F.regexp_replace(F.regexp_replace(text, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_MONTH_FIRST, "$3-$1-$2")
-    iso = F.when(text.contains("/"), dashed).otherwise(text)
-    view = F.when(iso.rlike(ISO_TIMESTAMP), iso.try_cast("timestamp_ntz"))
-    for shape, pattern in NAMED_MONTH_FORMATS.items():
-        spaced = F.regexp_replace(text, "-", " ")
-        view = view.when(text.rlike(shape), F.try_to_date(spaced, pattern).cast("timestamp_ntz"))
-    return view
+    if isinstance(dtype, T.StringType):
+        return text_timestamp(strip(col))
+    return F.lit(None).cast("timestamp_ntz")
 
 
 def as_boolean(col: Column, dtype: T.DataType) -> Column:

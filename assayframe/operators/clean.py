@@ -180,7 +180,7 @@ def standardise_labels(
 def flag_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR, z_threshold: float = Z_THRESHOLD) -> DataFrame:
     """Add ``<column>_is_outlier`` for every column that has outliers."""
     facts = Facts.of(table)
-    return facts.df.withColumns(_outlier_flags(facts, iqr_factor, z_threshold))
+    return facts.visible(facts.df.withColumns(_outlier_flags(facts, iqr_factor, z_threshold)))
 
 
 def _outlier_flags(facts: Facts, iqr_factor: float, z_threshold: float) -> dict[str, Column]:
@@ -212,13 +212,13 @@ def cap_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR) -> Da
     """Winsorise numerical columns to their interquartile fences."""
     facts = Facts.of(table)
     fences = facts.fences(iqr_factor, MIN_CELLS)
-    return facts.df.withColumns({c: _capped(facts, c, *fences[c]) for c in fences})
+    return facts.visible(facts.df.withColumns({c: _capped(facts, c, *fences[c]) for c in fences}))
 
 
 def remove_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR) -> DataFrame:
     """Drop rows that are interquartile outliers in any numerical column."""
     facts = Facts.of(table)
-    return facts.df.where(~_any_outlier(facts, iqr_factor))
+    return facts.visible(facts.df.where(~_any_outlier(facts, iqr_factor)))
 
 
 def _any_outlier(facts: Facts, iqr_factor: float) -> Column:
@@ -365,6 +365,7 @@ class CleaningRun:
         if o.outlier_action not in OUTLIER_ACTIONS:
             raise ValueError(f"Unknown outlier action: {o.outlier_action}")
         facts = Facts(self._alive(), kinds=self.kinds, order_by=self.order_by)
+        self._marked = facts.with_parsed(self._marked)
         if o.outlier_action == "flag":
             flags = _outlier_flags(facts, o.iqr_factor, o.z_threshold)
             for name, hit in flags.items():
@@ -384,6 +385,7 @@ class CleaningRun:
             hit = _any_outlier(facts, o.iqr_factor)
             self._mark(hit, "outlier-remove", "all", "Removed %d rows flagged as IQR outliers")
             self._marked = self._marked.withColumn(GONE, F.col(GONE) | hit)
+        self._marked = facts.visible(self._marked)
 
     # Results.
 

@@ -12,8 +12,8 @@ from assayframe.plans.facts import Facts
 def duplicate_summary(table: Facts | DataFrame) -> DataFrame:
     """Rows beyond the first of each identical row, their share, and the shape without them."""
     facts = Facts.of(table)
-    surplus = duplicate_groups(facts.df, facts.columns).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).scalar()
-    return facts.df.agg(F.count(F.lit(1)).alias("rows")).select(
+    surplus = duplicate_groups(facts.table, facts.columns).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).scalar()
+    return facts.table.agg(F.count(F.lit(1)).alias("rows")).select(
         surplus.alias("duplicate_rows"),
         F.coalesce(percent(surplus, F.col("rows")), F.lit(0.0)).alias("share_pct"),
         (F.col("rows") - surplus).alias("rows_after"),
@@ -27,8 +27,8 @@ def duplicate_preview(table: Facts | DataFrame, top: int = 20) -> DataFrame:
     order = facts.order_by
     if order is None:
         raise ValueError("a preview of later copies needs an order column")
-    groups = duplicate_groups(facts.df, facts.columns, {"_first": F.min(order)}).select("_hash", "_first", *facts.columns)
-    rows = repeated_rows(facts.df, facts.columns).alias("r")
+    groups = duplicate_groups(facts.table, facts.columns, {"_first": F.min(order)}).select("_hash", "_first", *facts.columns)
+    rows = repeated_rows(facts.table, facts.columns).alias("r")
     groups = groups.alias("g")
     same = F.col("r._hash") == F.col("g._hash")
     for c in facts.columns:
@@ -40,7 +40,7 @@ def duplicate_preview(table: Facts | DataFrame, top: int = 20) -> DataFrame:
 def deduplicated_preview(table: Facts | DataFrame, top: int = 20) -> DataFrame:
     """The first rows (by the order column) once later copies are removed."""
     facts = Facts.of(table)
-    kept = drop_duplicates(facts.df, facts.columns, order_by=facts.order_by)
+    kept = drop_duplicates(facts.table, facts.columns, order_by=facts.order_by)
     return kept.orderBy(facts.order_by).limit(top)
 
 

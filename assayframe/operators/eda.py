@@ -57,10 +57,10 @@ def numeric_shape(table: Facts | DataFrame) -> DataFrame:
     facts = Facts.of(table)
     quartiles = facts.quantiles([0.25, 0.5, 0.75])
     rows = [
-        (i, c, q.get(0.25), q.get(0.5), q.get(0.75))
+        (i, c, q.get(0.25), q.get(0.5), q.get(0.75), *facts.moments.get(c, (None, None)))
         for i, (c, q) in enumerate((c, quartiles[c]) for c in facts.numeric)
     ]
-    found = small_frame(facts.df.sparkSession, rows, "seq int, column string, q25 double, q50 double, q75 double")
+    found = small_frame(facts.df.sparkSession, rows, "seq int, column string, q25 double, q50 double, q75 double, g1 double, g2 double")
     n = F.col("numbers")
     std = F.when(n > 1, F.col("sigma") * F.sqrt(n / (n - 1)))
     skew = sample_skewness(F.col("g1"), n)

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.functions.coerce import (
     BOOL_TOKENS,
-    as_number,
     as_text,
-    as_timestamp,
     is_nested,
     is_temporal,
     strip,
+    text_number,
+    text_timestamp,
 )
 from assayframe.plans.duplicates import comparable
 from assayframe.plans.frequency import value_counts
@@ -77,7 +77,9 @@ def detect_kinds(df: DataFrame, exact_unique: bool = False) -> dict[str, Kind]:
     fields = df.schema.fields
     evidence = {
         r["column"]: r
-        for r in long_aggregate(df, [({"column": f.name}, _evidence(f)) for f in fields], EVIDENCE).collect()
+        for r in long_aggregate(
+            _with_stripped(df), [({"column": f.name}, _evidence(i, f)) for i, f in enumerate(fields)], EVIDENCE
+        ).collect()
     }
     decided: dict[str, Kind] = {}
     open_fields = []
@@ -97,19 +99,30 @@ def detect_types(df: DataFrame) -> DataFrame:
     return kinds_frame(df, detect_kinds(df, exact_unique=True)).orderBy("pos")
 
 
-def _evidence(field: T.StructField) -> dict[str, Column]:
+def _is_text(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.StringType) or is_nested(dtype)
+
+
+def _with_stripped(df: DataFrame) -> DataFrame:
+    """Text columns stripped once, for all the tests on them."""
+    texts = [(i, f) for i, f in enumerate(df.schema.fields) if _is_text(f.dataType)]
+    return df.withColumns({f"_stripped{i}": strip(as_text(F.col(f"`{f.name}`"), f.dataType)) for i, f in texts}) if texts else df
+
+
+def _evidence(place: int, field: T.StructField) -> dict[str, Column]:
     col = F.col(f"`{field.name}`")
     dtype = field.dataType
-    text = isinstance(dtype, T.StringType) or is_nested(dtype)
+    text = _is_text(dtype)
+    stripped = F.col(f"_stripped{place}")
     evidence = {"n": F.count(col)}
     if text or isinstance(dtype, T.IntegralType):
-        token = F.lower(strip(as_text(col, dtype))) if text else col.cast("string")
-        place = F.array_position(F.split(F.lit(" ".join(BOOL_TOKENS)), " "), token)
+        token = F.lower(stripped) if text else col.cast("string")
+        found = F.array_position(F.split(F.lit(" ".join(BOOL_TOKENS)), " "), token)
         # Bit 0 stands for any other value, the rest for one token each.
-        evidence["tokens"] = F.bit_or(F.call_function("shiftleft", F.lit(1), place.cast("int")))
+        evidence["tokens"] = F.bit_or(F.call_function("shiftleft", F.lit(1), found.cast("int")))
     if isinstance(dtype, T.StringType):
-        evidence["numbers"] = F.count(as_number(col, dtype))
-        evidence["dates"] = F.count(as_timestamp(col, dtype))
+        evidence["numbers"] = F.count(text_number(stripped))
+        evidence["dates"] = F.count(text_timestamp(stripped))
     if text:
         evidence["estimate"] = F.approx_count_distinct(as_text(col, dtype))
     return evidence

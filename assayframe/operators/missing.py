@@ -15,7 +15,7 @@ def _counts(facts: Facts) -> DataFrame:
         ({"pos": i, "column": c}, {"rows": F.count(F.lit(1)), "missing": F.count_if(facts.col(c).isNull())})
         for i, c in enumerate(facts.columns)
     ]
-    return long_aggregate(facts.df, entries)
+    return long_aggregate(facts.table, entries)
 
 
 def missing_by_column(table: Facts | DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def missing_mask(table: Facts | DataFrame, keep_in: int = 1) -> DataFrame:
     facts = Facts.of(table)
     if facts.order_by is None:
         raise ValueError("a mask needs an order column to name its rows")
-    rows = facts.df if keep_in <= 1 else hash_sample(facts.df, facts.order_by, keep_in)
+    rows = facts.table if keep_in <= 1 else hash_sample(facts.table, facts.order_by, keep_in)
     return rows.select(
         facts.order_by, *[facts.col(c).isNull().cast("int").alias(c) for c in facts.columns]
     )
@@ -66,9 +66,9 @@ def co_missing(table: Facts | DataFrame) -> DataFrame:
     """Rows per combination of missing columns, and the share of all rows."""
     facts = Facts.of(table)
     names = F.concat_ws(", ", *[F.when(facts.col(c).isNull(), F.lit(c)) for c in facts.columns])
-    total = facts.df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    total = facts.table.agg(F.count(F.lit(1)).alias("rows")).scalar()
     return (
-        facts.df.groupBy(names.alias("missing_columns"))
+        facts.table.groupBy(names.alias("missing_columns"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("missing_columns", "n", rounded(100.0 * F.col("n") / total, 2).alias("share_pct"))
     )

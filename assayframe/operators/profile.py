@@ -24,7 +24,7 @@ def column_counts(table: Facts | DataFrame) -> DataFrame:
          {"rows": F.count(F.lit(1)), "count": F.count(facts.col(c))})
         for i, c in enumerate(facts.columns)
     ]
-    counts = long_aggregate(facts.df, entries)
+    counts = long_aggregate(facts.table, entries)
     distinct = facts.counts(facts.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     return (
         counts.join(distinct, "column", "left")
@@ -77,7 +77,7 @@ def first_last(table: Facts | DataFrame, order_by: str | None = None) -> DataFra
         text = facts.text(c)
         known = F.when(text.isNotNull(), order)
         entries.append(({"pos": i, "column": c}, {"first": F.min_by(text, known), "last": F.max_by(text, known)}))
-    return long_aggregate(facts.df, entries).select("column", "first", "last")
+    return long_aggregate(facts.table, entries).select("column", "first", "last")
 
 
 def modal_values(table: Facts | DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def shape(table: Facts | DataFrame) -> DataFrame:
     """Rows, columns and columns per kind in one row."""
     facts = Facts.of(table)
     per_kind = [F.lit(len(facts.of_kind(k))).alias(f"n_{k}") for k in KIND_TYPES]
-    return facts.df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+    return facts.table.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", F.lit(len(facts.columns)).alias("n_cols"), *per_kind
     )
 
@@ -164,7 +164,7 @@ def size_estimate(table: Facts | DataFrame) -> DataFrame:
     """Row count, mean CSV line length and the CSV size in MB they imply."""
     facts = Facts.of(table)
     line = F.concat_ws(",", *[F.coalesce(facts.text(c), F.lit("")) for c in facts.columns])
-    return facts.df.agg(
+    return facts.table.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length(line) + 1).alias("bytes")
     ).select(
         "n_rows",
@@ -176,8 +176,8 @@ def size_estimate(table: Facts | DataFrame) -> DataFrame:
 def value_counts_with_nulls(table: Facts | DataFrame, column: str, top: int = 20) -> DataFrame:
     """Top values of a column, null being a value of its own, with their share of all rows."""
     facts = Facts.of(table)
-    counts = facts.df.groupBy(facts.text(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = facts.df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    counts = facts.table.groupBy(facts.text(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    total = facts.table.agg(F.count(F.lit(1)).alias("rows")).scalar()
     return (
         counts.orderBy(F.desc("count"), F.asc_nulls_last("value"))
         .limit(top)

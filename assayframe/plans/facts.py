@@ -23,7 +23,7 @@ from assayframe.plans.wide import long_aggregate, small_frame
 # Shared aggregates per column; number facts are NULL for other kinds, and so are date facts.
 SUMMARY = {
     "rows": "bigint", "n": "bigint", "numbers": "bigint", "finite": "bigint", "mean": "double", "sigma": "double",
-    "g1": "double", "g2": "double", "low": "double", "high": "double", "stamps": "bigint",
+    "low": "double", "high": "double", "stamps": "bigint",
     "first_ts": "timestamp_ntz", "last_ts": "timestamp_ntz",
 }
 
@@ -42,7 +42,7 @@ class Facts:
         order_by: str | None = None,
         task_limit: int = TASK_LIMIT,
     ):
-        self.df = comparable(df)
+        self.table = comparable(df)
         self.order_by = order_by
         self.task_limit = task_limit
         self.columns = [c for c in df.columns if c != order_by]
@@ -59,7 +59,7 @@ class Facts:
     @property
     def kinds(self) -> dict[str, Kind]:
         if self._kinds is None:
-            self._kinds = detect_kinds(self.df.select(*[f"`{c}`" for c in self.columns]))
+            self._kinds = detect_kinds(self.table.select(*[f"`{c}`" for c in self.columns]))
         return self._kinds
 
     def of_kind(self, *kinds: str) -> list[str]:
@@ -76,16 +76,43 @@ class Facts:
 
     # -- views ---------------------------------------------------------------
 
+    @cached_property
+    def _parsed(self) -> dict[str, str]:
+        """Hidden column with the parsed cells of each numerical or datetime text column."""
+        texts = [c for c in self.of_kind("numerical", "datetime") if isinstance(self.dtype(c), T.StringType)]
+        return {c: f"_parsed{i}" for i, c in enumerate(texts)}
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The table with the hidden parsed columns, so that no operator parses a cell twice."""
+        return self.with_parsed(self.table)
+
+    def with_parsed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the hidden parsed columns."""
+        views = {}
+        for c, name in self._parsed.items():
+            parse = as_number if self.kinds[c].kind == "numerical" else as_timestamp
+            views[name] = parse(self.col(c), self.dtype(c))
+        return df.withColumns(views) if views else df
+
+    def visible(self, df: DataFrame) -> DataFrame:
+        """``df`` without the hidden columns."""
+        return df.drop(*self._parsed.values())
+
     def dtype(self, column: str) -> T.DataType:
-        return self.df.schema[column].dataType
+        return self.table.schema[column].dataType
 
     def col(self, column: str) -> Column:
         return F.col(f"`{column}`")
 
     def number(self, column: str) -> Column:
+        if self.kinds[column].kind == "numerical" and column in self._parsed:
+            return F.col(self._parsed[column])
         return as_number(self.col(column), self.dtype(column))
 
     def timestamp(self, column: str) -> Column:
+        if self.kinds[column].kind == "datetime" and column in self._parsed:
+            return F.col(self._parsed[column])
         return as_timestamp(self.col(column), self.dtype(column))
 
     def boolean(self, column: str) -> Column:
@@ -104,7 +131,7 @@ class Facts:
         for seen in found.values():
             if seen["low"] is not None and seen["low"] == seen["high"]:
                 # A constant column: merging partial moments may leave rounding noise.
-                seen.update(mean=seen["low"], sigma=0.0, g1=None, g2=None)
+                seen.update(mean=seen["low"], sigma=0.0)
         return found
 
     def _summary_aggregates(self, c: str) -> dict[str, Column]:
@@ -114,7 +141,7 @@ class Facts:
             x = self.number(c)
             out.update({
                 "numbers": F.count(x), "finite": F.count_if(F.abs(x) < float("inf")), "mean": F.avg(x),
-                "sigma": F.stddev_pop(x), "g1": F.skewness(x), "g2": F.kurtosis(x), "low": F.min(x), "high": F.max(x),
+                "sigma": F.stddev_pop(x), "low": F.min(x), "high": F.max(x),
             })
         elif kind == "datetime":
             ts = self.timestamp(c)
@@ -128,7 +155,15 @@ class Facts:
         rows = [
             (i, c, self.kinds[c].kind, *[self.summary[c][k] for k in SUMMARY]) for i, c in enumerate(self.columns)
         ]
-        return small_frame(self.df.sparkSession, rows, schema)
+        return small_frame(self.table.sparkSession, rows, schema)
+
+    @cached_property
+    def moments(self) -> dict[str, tuple]:
+        """Population skewness and kurtosis of the numerical columns that vary."""
+        varied = [c for c in self.numeric if self.summary[c]["sigma"]]
+        entries = [({"column": c}, {"g1": F.skewness(self.number(c)), "g2": F.kurtosis(self.number(c))}) for c in varied]
+        found = long_aggregate(self.df, entries).collect() if entries else []
+        return {r["column"]: (r["g1"], r["g2"]) for r in found}
 
     @property
     def rows(self) -> int:
@@ -158,16 +193,16 @@ class Facts:
     def counts(self, columns: list[str]) -> DataFrame:
         """``(column, value, n)`` over the non-null cells of the given columns."""
         if not columns:
-            return small_frame(self.df.sparkSession, [], "column string, value string, n bigint")
+            return small_frame(self.table.sparkSession, [], "column string, value string, n bigint")
         if self._shared is not None and set(columns) <= set(self.of_kind("categorical", "text", "boolean")):
             return self._shared.where(F.col("column").isin(columns))
-        return value_counts(self.df, {c: self.text(c) for c in columns})
+        return value_counts(self.table, {c: self.text(c) for c in columns})
 
     def share(self) -> "Facts":
         """Keep the label counts for several operators; :meth:`release` frees them."""
         columns = self.of_kind("categorical", "text", "boolean")
         if self._shared is None and columns:
-            self._shared = value_counts(self.df, {c: self.text(c) for c in columns}).persist(StorageLevel.MEMORY_AND_DISK)
+            self._shared = value_counts(self.table, {c: self.text(c) for c in columns}).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def release(self) -> None:
