@@ -43,7 +43,7 @@ NAMED_MONTH_FORMATS = {
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not just spaces."""
-    padded = text.rlike(r"(?U)^\s|\s$|^[\x1c-\x1f]|[\x1c-\x1f]$")
+    padded = text.rlike(r"(?Us)^(?:[\s\x1c-\x1f]|.*+(?<=[\s\x1c-\x1f]))")
     return F.when(padded, F.btrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 

@@ -42,7 +42,7 @@ KIND_SCHEMA = "pos int, column string, kind string, confidence double, reason st
 
 
 # Facts gathered per column before deciding.
-EVIDENCE = {"n": "bigint", "tokens": "int", "numbers": "bigint", "dates": "bigint", "estimate": "bigint"}
+EVIDENCE = {"n": "bigint", "tokens": "int", "numbers": "bigint", "dates": "bigint"}
 
 
 @dataclass(frozen=True)
@@ -68,10 +68,9 @@ def detect_kinds(df: DataFrame, exact_unique: bool = False) -> dict[str, Kind]:
     """Decide the kind of every column.
 
     One wide aggregate gathers all evidence: which boolean tokens occur (a bit
-    mask, so no distinct is needed), how many cells read as numbers and dates,
-    and a distinct estimate. Only undecided text columns with a low estimate are
-    counted exactly in a second pass; their value sets are bounded by that
-    estimate. ``exact_unique`` also counts the remaining high-cardinality ones.
+    mask, so no distinct is needed) and how many cells read as numbers and dates.
+    Undecided columns get a distinct estimate, and those with a low one are
+    counted exactly; their value sets are bounded by that estimate. ``exact_unique`` also counts the remaining high-cardinality ones.
     """
     df = comparable(df)
     fields = df.schema.fields
@@ -89,7 +88,7 @@ def detect_kinds(df: DataFrame, exact_unique: bool = False) -> dict[str, Kind]:
             open_fields.append(f)
         else:
             decided[f.name] = kind
-    for name, unique, exact in _distinct_counts(df, open_fields, evidence, exact_unique):
+    for name, unique, exact in _distinct_counts(df, open_fields, exact_unique):
         decided[name] = _by_cardinality(name, unique, exact, evidence[name]["n"], df.schema[name].dataType)
     return {f.name: decided[f.name] for f in fields}
 
@@ -115,16 +114,18 @@ def _evidence(place: int, field: T.StructField) -> dict[str, Column]:
     text = _is_text(dtype)
     stripped = F.col(f"_stripped{place}")
     evidence = {"n": F.count(col)}
-    if text or isinstance(dtype, T.IntegralType):
-        token = F.lower(stripped) if text else col.cast("string")
-        found = F.array_position(F.split(F.lit(" ".join(BOOL_TOKENS)), " "), token)
-        # Bit 0 stands for any other value, the rest for one token each.
-        evidence["tokens"] = F.bit_or(F.call_function("shiftleft", F.lit(1), found.cast("int")))
+    # Bit 0 stands for any other value, the rest for one boolean token each.
+    if text:
+        tokens = F.split(F.lit(" ".join(BOOL_TOKENS)), " ")
+        short = F.length(stripped) <= max(map(len, BOOL_TOKENS))
+        found = F.when(short, F.array_position(tokens, F.lower(stripped)).cast("int")).when(col.isNotNull(), 0)
+        evidence["tokens"] = F.bit_or(F.call_function("shiftleft", F.lit(1), found))
+    elif isinstance(dtype, T.IntegralType):
+        bits = {value: 1 << (BOOL_TOKENS.index(str(value)) + 1) for value in (0, 1)}
+        evidence["tokens"] = F.bit_or(F.when(col == 0, bits[0]).when(col == 1, bits[1]).when(col.isNotNull(), 1))
     if isinstance(dtype, T.StringType):
         evidence["numbers"] = F.count(text_number(stripped))
         evidence["dates"] = F.count(text_timestamp(stripped))
-    if text:
-        evidence["estimate"] = F.approx_count_distinct(as_text(col, dtype))
     return evidence
 
 
@@ -149,9 +150,15 @@ def _from_evidence(field: T.StructField, seen) -> Kind | None:
     return None
 
 
-def _distinct_counts(df: DataFrame, fields, evidence, exact_unique: bool):
-    few = [f for f in fields if evidence[f.name]["estimate"] <= EXACT_DISTINCT_BELOW]
-    many = [f for f in fields if evidence[f.name]["estimate"] > EXACT_DISTINCT_BELOW]
+def _distinct_counts(df: DataFrame, fields: list[T.StructField], exact_unique: bool):
+    """``(column, distinct values, exactly counted)`` of undecided columns."""
+    if not fields:
+        return
+    # Sketches in an aggregate of their own: mixed with others they make it too large to compile.
+    sketches = [F.approx_count_distinct(as_text(F.col(f"`{f.name}`"), f.dataType)).alias(f"u{i}") for i, f in enumerate(fields)]
+    estimates = df.agg(*sketches).first()
+    few = [f for i, f in enumerate(fields) if estimates[i] <= EXACT_DISTINCT_BELOW]
+    many = [f for f in fields if f not in few]
     if few:
         row = df.agg(
             *[F.size(F.collect_set(as_text(F.col(f"`{f.name}`"), f.dataType))).alias(f"u{i}") for i, f in enumerate(few)]
@@ -162,7 +169,7 @@ def _distinct_counts(df: DataFrame, fields, evidence, exact_unique: bool):
         rows = counts.groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()
         yield from ((r["column"], r["u"], True) for r in rows)
     elif many:
-        yield from ((f.name, evidence[f.name]["estimate"], False) for f in many)
+        yield from ((f.name, estimates[i], False) for i, f in enumerate(fields) if f in many)
 
 
 def _by_cardinality(name: str, unique: int, exact: bool, n: int, dtype: T.DataType) -> Kind:
