@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.functions.coerce import rounded
+from assayframe.functions.stats import histogram_bins
 from assayframe.operators.eda import category_labels, correlation_matrix, numeric_shape, strong_relationships
 from assayframe.operators.outliers import IQR_FACTOR
 from assayframe.plans.facts import Facts
@@ -35,8 +36,14 @@ BOX_COLUMNS = 10
 def suggested_bins(table: Facts | DataFrame, column: str) -> int:
     """Freedman-Diaconis bin count of one column."""
     facts = Facts.of(table)
-    row = numeric_shape(facts).where(F.col("column") == column).select("histogram_bins").first()
-    return row["histogram_bins"] if row else DEFAULT_BINS
+    quartiles, seen = facts.quantiles([0.25, 0.75], [column])[column], facts.summary[column]
+    if not quartiles:
+        return DEFAULT_BINS
+    row = small_frame(
+        facts.table.sparkSession, [(seen["numbers"], seen["high"] - seen["low"], quartiles[0.75] - quartiles[0.25])],
+        "n bigint, spread double, iqr double",
+    )
+    return row.select(histogram_bins(F.col("n"), F.col("spread"), F.col("iqr"))).first()[0]
 
 
 def histogram(table: Facts | DataFrame, column: str, bins: int | None = DEFAULT_BINS) -> DataFrame:
@@ -104,14 +111,14 @@ def grouped_box(table: Facts | DataFrame, number: str, label: str, top: int = BO
     facts = Facts.of(table)
     x, text = facts.number(number), facts.text(label)
     views = {v: F.when(text == v, x) for v in _top_labels(facts, label, top)}
-    empty = small_frame(facts.df.sparkSession, [], f"label string, {BOX_SCHEMA}")
+    empty = small_frame(facts.table.sparkSession, [], f"label string, {BOX_SCHEMA}")
     if not views:
         return empty
     entries = [({"label": v}, {"n": F.count(view), "low": F.min(view), "high": F.max(view)}) for v, view in views.items()]
-    counts = {r["label"]: (r["n"], r["low"], r["high"]) for r in long_aggregate(facts.df, entries).collect()}
-    found = exact_quantiles(facts.df, views, [0.25, 0.5, 0.75], counts, facts.task_limit)
+    counts = {r["label"]: (r["n"], r["low"], r["high"]) for r in long_aggregate(facts.cells, entries).collect()}
+    found = exact_quantiles(facts.cells, views, [0.25, 0.5, 0.75], counts, facts.task_limit)
     boxes = [({"label": v}, views[v], q[0.25], q[0.5], q[0.75]) for v, q in found.items() if q]
-    return _box_rows(facts.df, boxes) if boxes else empty
+    return _box_rows(facts.cells, boxes) if boxes else empty
 
 
 def bar(table: Facts | DataFrame, column: str, top: int = BAR_LABELS) -> DataFrame:
@@ -155,7 +162,7 @@ def daily_counts(table: Facts | DataFrame, date: str) -> DataFrame:
     """``(day, n)`` rows per calendar day, days without rows as 0."""
     facts = Facts.of(table)
     day = F.to_date(facts.timestamp(date))
-    counts = facts.df.where(day.isNotNull()).groupBy(day.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    counts = facts.cells.where(day.isNotNull()).groupBy(day.alias("period")).agg(F.count(F.lit(1)).alias("n"))
     return _spine(counts, "interval 1 day").join(counts, "period", "left").select(
         F.col("period").alias("day"), F.coalesce("n", F.lit(0)).alias("n")
     )
@@ -168,7 +175,7 @@ def value_over_time(table: Facts | DataFrame, date: str, value: str, how: str =
     """
     facts = Facts.of(table)
     stamp, x = facts.timestamp(date), facts.number(value)
-    rows = facts.df.select(stamp.alias("t"), x.alias("x")).where(F.col("t").isNotNull() & F.col("x").isNotNull())
+    rows = facts.cells.select(stamp.alias("t"), x.alias("x")).where(F.col("t").isNotNull() & F.col("x").isNotNull())
     daily = rows.limit(DAILY_ABOVE + 1).count() > DAILY_ABOVE
     period = F.to_date("t") if daily else F.to_date(F.date_trunc("year", "t"))
     aggregate = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "median": F.median}[how]("x")
@@ -184,7 +191,7 @@ def ols_trend(table: Facts | DataFrame, x: str, y: str, color: str | None = None
     facts = Facts.of(table)
     a, b = facts.number(x), facts.number(y)
     shade = facts.text(color) if color else F.lit("all")
-    rows = facts.df.select(shade.alias("color"), a.alias("a"), b.alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    rows = facts.cells.select(shade.alias("color"), a.alias("a"), b.alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     sums = rows.groupBy("color").agg(
         F.count(F.lit(1)).alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"),
         F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("cab"),
@@ -200,7 +207,7 @@ def scatter_sample(table: Facts | DataFrame, x: str, y: str, key: str, color: st
     """A repeatable sample of plottable points: those with the smallest key hashes."""
     facts = Facts.of(table)
     shade = [facts.text(color).alias("color")] if color else []
-    points = facts.df.select(F.col(key).alias("key"), facts.number(x).alias("x"), facts.number(y).alias("y"), *shade)
+    points = facts.cells.select(F.col(key).alias("key"), facts.number(x).alias("x"), facts.number(y).alias("y"), *shade)
     return points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(rows)
 
 
@@ -223,7 +230,7 @@ def composition(table: Facts | DataFrame, x: str, y: str, top_x: int = STACK_X,
     facts = Facts.of(table)
     a, b = facts.text(x), facts.text(y)
     counts = (
-        facts.df.where(a.isin(_top_labels(facts, x, top_x)) & b.isNotNull())
+        facts.cells.where(a.isin(_top_labels(facts, x, top_x)) & b.isNotNull())
         .groupBy(a.alias("x"), b.alias("y")).agg(F.count(F.lit(1)).alias("n"))
     )
     keep = counts.groupBy("y").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), F.asc("y")).limit(top_y).select("y")

@@ -87,6 +87,11 @@ class Facts:
         """The table with the hidden parsed columns, so that no operator parses a cell twice."""
         return self.with_parsed(self.table)
 
+    @property
+    def cells(self) -> DataFrame:
+        """The table for operators on named columns, which need no kinds: parsed columns only if there already."""
+        return self.table if self._kinds is None else self.df
+
     def with_parsed(self, df: DataFrame) -> DataFrame:
         """``df`` with the hidden parsed columns."""
         views = {}
@@ -106,12 +111,12 @@ class Facts:
         return F.col(f"`{column}`")
 
     def number(self, column: str) -> Column:
-        if self.kinds[column].kind == "numerical" and column in self._parsed:
+        if self._kinds is not None and self.kinds[column].kind == "numerical" and column in self._parsed:
             return F.col(self._parsed[column])
         return as_number(self.col(column), self.dtype(column))
 
     def timestamp(self, column: str) -> Column:
-        if self.kinds[column].kind == "datetime" and column in self._parsed:
+        if self._kinds is not None and self.kinds[column].kind == "datetime" and column in self._parsed:
             return F.col(self._parsed[column])
         return as_timestamp(self.col(column), self.dtype(column))
 
