@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe_tokens
+from assayframe.llm import bpe_tokens, exact_topk, poisson_mix, rotated_bits, warc_members
 from assayframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,57 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# A component is finite if it is neither null nor NaN nor infinite.
+_VECTORS = """v AS (SELECT vec_id, {cast} AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0{more})"""
+
+
+@query("op3_exact_topk", "WITH " + _VECTORS.format(cast="list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT))", more="") + """,
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=5, query_every=50)
+
+
+@query("op6_rotated_bits", "WITH " + _VECTORS.format(cast="CAST(embedding AS DOUBLE[])", more=" AND len(list_filter(embedding, lambda c: c <> 0)) > 0") + """,
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def nearest_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_bits.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10, query_every=100)
+
+
+@query("op7_poisson_mix", """WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || source, 'null') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS i, CAST(coalesce(length(text), 0) AS BIGINT) + 1 AS m FROM documents),
+z AS (SELECT s, CAST(sum(m) AS DOUBLE) AS size, floor(sqrt(sum(m))) AS w FROM d GROUP BY s),
+r AS (SELECT s, (w / (SELECT sum(w) FROM z)) * ((SELECT sum(size) FROM z) / size) AS rate FROM z),
+t AS (SELECT s, greatest(ceil(rate / 32), 1) AS parts, rate / greatest(ceil(rate / 32), 1) AS mean FROM r),
+c AS (SELECT s, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM t
+  UNION ALL SELECT s, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM c WHERE k < ceil(mean + 12 * sqrt(mean) + 30)),
+l AS (SELECT s, list(cdf ORDER BY k) AS cdfs FROM c GROUP BY s),
+u AS (SELECT d.*, l.cdfs, unnest(range(CAST(t.parts AS BIGINT))) AS part FROM d JOIN t USING (s) JOIN l USING (s)),
+n AS (SELECT *, len(list_filter(cdfs, lambda x: x <= CAST(('0x' || substr(md5('poisson-42|' || i || '|' || part), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS one FROM u),
+g AS (SELECT doc_id, text, lang, source, n_chars, i, CAST(sum(one) AS INTEGER) AS n_copies FROM n GROUP BY ALL),
+e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM g)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, n_copies, md5('mix-42|' || i || '|' || copy) AS mix_key FROM e""")
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_warc_members", """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST(('0x' || substr(h, 1 + 5 * i, 5)) AS INTEGER) >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS latest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to FROM g""")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_members.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op10_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_tokens.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
