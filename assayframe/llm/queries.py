@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe_tokens, exact_topk, poisson_mix, rotated_bits, warc_members
+from assayframe.llm import bpe_tokens, exact_topk, poisson_mix, rotated_bits, simhash_links, warc_members
 from assayframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=5, query_every=50)
 
 
+@query("op4_simhash_links")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_links.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op6_rotated_bits", "WITH " + _VECTORS.format(cast="CAST(embedding AS DOUBLE[])", more=" AND len(list_filter(embedding, lambda c: c <> 0)) > 0") + """,
 s AS (SELECT q.vec_id AS query_id, c.vec_id,
     sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score
