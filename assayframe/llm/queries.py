@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayframe.llm import bpe_tokens, exact_topk, poisson_mix, rotated_bits, simhash_links, warc_members
+from assayframe.llm import bpe_tokens, credential_links, exact_topk, language_entropy, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members
 from assayframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_entropy")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_entropy.learn(docs)
+    held_out = docs.withColumn("held_out", F.coalesce(language_entropy.remainder("doc_id") == 0, F.lit(False)))
+    return language_entropy.predict(held_out, model, keep=["doc_id", "held_out"])
+
+
 # A component is finite if it is neither null nor NaN nor infinite.
 _VECTORS = """v AS (SELECT vec_id, {cast} AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0{more})"""
@@ -45,6 +53,11 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_links.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op5_pii_crf")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(pii_crf.personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii_crf.KINDS, ["doc_id"])
+
+
 @query("op6_rotated_bits", "WITH " + _VECTORS.format(cast="CAST(embedding AS DOUBLE[])", more=" AND len(list_filter(embedding, lambda c: c <> 0)) > 0") + """,
 s AS (SELECT q.vec_id AS query_id, c.vec_id,
     sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score
@@ -82,6 +95,11 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_members.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op9_credential_links")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(credential_links.secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]), credential_links.BASE, ["doc_id"])
+
+
 @query("op10_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_tokens.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
