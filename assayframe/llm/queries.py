@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayframe.llm import bpe_tokens, credential_links, exact_topk, language_entropy, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members
+from assayframe.llm import bpe_tokens, credential_links, exact_topk, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members
 from assayframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_entropy.predict(held_out, model, keep=["doc_id", "held_out"])
 
 
+@query("op2_page_boilerplate")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 # A component is finite if it is neither null nor NaN nor infinite.
 _VECTORS = """v AS (SELECT vec_id, {cast} AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0{more})"""
