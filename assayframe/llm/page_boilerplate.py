@@ -4,12 +4,11 @@ The token stream of a page is the sequence of its blocks' hashes. The streams of
 their suffix array sorted; neighbours whose common prefix spans ``LEAST_CHARS`` characters share a long substring. A run
 that distinct pages share is boilerplate of the host, and the blocks it covers are removed:
 
-- undecided text (pages that mark no article) if two distinct pages share the run;
-- text inside a marked article only if the run is known as page furniture on two distinct pages, since an article may
-  quote licences, repeat passages or be a copy of another page, which the main text has to keep;
-- a page whose undecided text is nearly all covered is a copy, not boilerplate, and stays whole.
-
-Furniture by element, role or class name, and text beside a marked article, is left out as such.
+- text of a page that marks no article is removed if two distinct pages share the run; a page whose text is nearly all
+  covered is a copy, not boilerplate, and stays whole;
+- text inside a marked article stays, since articles quote licences, repeat passages or are copies, and the main text
+  has to keep those; furniture by element, role or class name, and text beside a marked article, goes as such. Both
+  still count as places where a run occurs.
 
 A host with more than ``PAGES`` pages is cut into chunks by the hash of the page, each with a suffix array of its own. Every
 chunk reports its runs with the number of its pages, and the sums over the chunks decide, so that the split changes
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assayframe.llm.common import joined_by_size, settled
-from assayframe.llm.page_blocks import ARTICLE, FURNITURE, NEUTRAL, blocks
+from assayframe.llm.page_blocks import ARTICLE, NEUTRAL, blocks
 
 #: Pages that share one suffix array at most, on average.
 PAGES = 512
@@ -82,14 +81,19 @@ def needed(chars: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.where(last <= stops, last - np.arange(len(chars)), 0)
 
 
-def runs(keys: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, chars: np.ndarray, zones: np.ndarray) -> Iterator[tuple]:
-    """``(run, pages, furniture_pages, places)`` of the long runs of a chunk, one for each interval of the suffix array.
+def runs(keys: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, chars: np.ndarray, zones: np.ndarray, backwards: bool) -> Iterator[tuple]:
+    """``(run, pages, places)`` of the long runs of a chunk, one for each interval of the suffix array.
 
-    ``places`` has ``(key, first block, blocks, zone)`` of the occurrences that are not furniture.
+    A run is the shortest long one that begins at a block, or ``backwards`` the shortest that ends there; a longer shared
+    substring is covered by the two kinds together. ``places`` has ``(key, first block, blocks)`` of the occurrences in
+    undecided text.
     """
     ends = np.cumsum(sizes)
     page = np.repeat(np.arange(len(sizes)), sizes)
     first = (ends - sizes)[page]
+    if backwards:
+        turned = first + ends[page] - 1 - np.arange(len(hashes))
+        hashes, chars, zones = hashes[turned], chars[turned], zones[turned]
     length = needed(chars, ends[page])
     # a token that no other page has closes every page
     tokens = np.insert(np.unique(hashes, return_inverse=True)[1].astype(np.int64), ends, len(hashes) + np.arange(len(sizes)))
@@ -102,19 +106,17 @@ def runs(keys: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, chars: np.ndar
     begins[1:] |= want[:-1] == 0
     starts = np.flatnonzero(begins)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(places)]):
-        if not want[a]:
-            continue
-        held = places[a:b]
-        size = int(want[a])
-        run = xxhash.xxh64_intdigest(hashes[held[0] : held[0] + size].tobytes()) - (1 << 63)
-        furniture = np.unique(page[held[zones[held] == FURNITURE]])
-        open_text = held[(zones[held] == ARTICLE) | (zones[held] == NEUTRAL)]
-        yield run, len(np.unique(page[held])), len(furniture), [(int(keys[page[i]]), int(i - first[i]), size, int(zones[i])) for i in open_text]
+        if want[a]:
+            held, size = places[a:b], int(want[a])
+            run = xxhash.xxh64_intdigest(hashes[held[0] : held[0] + size].tobytes(), int(backwards)) - (1 << 63)
+            undecided = held[zones[held] == NEUTRAL]
+            begin = ends[page[undecided]] - undecided - size if backwards else undecided - first[undecided]
+            yield run, len(np.unique(page[held])), list(zip(keys[page[undecided]].tolist(), begin.tolist(), [size] * len(begin)))
 
 
 # -- on Spark -------------------------------------------------------------------------
 
-_RUNS = "host string, run long, pages long, furniture long, places array<struct<key:long,first:int,size:int,zone:int>>"
+_RUNS = "host string, run long, pages long, places array<struct<key:long,first:int,size:int>>"
 
 
 def keyed(pages: DataFrame) -> DataFrame:
@@ -168,14 +170,15 @@ def chunk_runs(streamed: DataFrame) -> DataFrame:
         split = chunk["chunks"][0].as_py() > 1
         host = chunk["host"][0].as_py()
         rows = [
-            {"host": host, "run": r, "pages": n, "furniture": f, "places": [dict(zip(("key", "first", "size", "zone"), p)) for p in places]}
-            for r, n, f, places in runs(keys[once], sizes, hashes, chars, zones)
+            {"host": host, "run": r, "pages": n, "places": [dict(zip(("key", "first", "size"), p)) for p in places]}
+            for backwards in (False, True)
+            for r, n, places in runs(keys[once], sizes, hashes, chars, zones, backwards)
             if split or (places and n > 1)]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    place = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("zone", pa.int32())])
-    schema = pa.schema([("host", pa.string()), ("run", pa.int64()), ("pages", pa.int64()), ("furniture", pa.int64()), ("places", pa.list_(place))])
+    place = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("size", pa.int32())])
+    schema = pa.schema([("host", pa.string()), ("run", pa.int64()), ("pages", pa.int64()), ("places", pa.list_(place))])
     sizes = streamed.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("chunks")).where("chunks > 1")
     dealt = joined_by_size(streamed, sizes, ["host"]).withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod("key", "chunks").cast("int"))
     return dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInArrow(run, _RUNS)
@@ -185,10 +188,8 @@ def covered(streamed: DataFrame) -> DataFrame:
     """``(key, covered)``: ``(first, size)`` of the stretches of blocks that are boilerplate of the host, by page."""
     found = chunk_runs(streamed)
     whole = Window.partitionBy("host", "run")  # a run has one row per chunk at most
-    known = found.withColumn("pages", F.sum("pages").over(whole)).withColumn("furniture", F.sum("furniture").over(whole))
-    places = known.where("pages > 1").select("furniture", F.explode("places").alias("p")).select("p.*", "furniture")
-    boilerplate = places.where((F.col("zone") == NEUTRAL) | (F.col("furniture") > 1))
-    return boilerplate.groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("covered"))
+    places = found.withColumn("pages", F.sum("pages").over(whole)).where("pages > 1").select(F.explode("places").alias("p")).select("p.*")
+    return places.groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("covered"))
 
 
 def main_text(page: str | None, stretches: list[dict] | None) -> str:

@@ -5,7 +5,7 @@ The field labels the words of a text with the beginning or inside of a kind. Its
 on the small labelled table in ``labelled_lines``, all lines at once by forward and backward sums, and decoded by
 Viterbi in numpy over a batch of word sequences together.
 
-Only words near a digit or an at sign can get a label: a plain word scores best outside by a margin no transition makes
+Only words near a digit or an at sign (``@``, ``(at)``, ``[at]``) can get a label: a plain word scores best outside by a margin no transition makes
 up (``plain_margin``, checked after training), so a path that leaves the windows around such words is never the best.
 Every such word of every text is decoded.
 
@@ -36,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_WRITTEN_AT = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -100,7 +101,7 @@ def own_features(word: str) -> list[str]:
     digits = sum(c.isdigit() for c in word)
     pure = "pure" if digits == len(word) else "mixed" if any(c.isalpha() for c in word) else "signs"
     size = str(digits) if digits < 5 else "5-6" if digits < 7 else "7-8" if digits < 9 else "9-11" if digits < 12 else "12-19" if digits < 20 else "more"
-    plain = not digits and "@" not in word
+    plain = not _WRITTEN_AT.search(word)
     return ["plain" if plain else f"shape={shape(word)}", f"digits={size},{pure}", f"first={word[:1] if not word[:1].isalnum() else 'x'}"]
 
 
@@ -233,6 +234,12 @@ def viterbi(scores: list[np.ndarray], field: Field) -> list[np.ndarray]:
 
 # -- decoding texts -----------------------------------------------------------------
 
+
+def trigger_of(text: str) -> re.Pattern:
+    """What calls for decoding in a text: a digit or an at sign, written out or not."""
+    return _WRITTEN_AT if "(at)" in text or "[at]" in text else _TRIGGER
+
+
 _PRECEDING = re.compile(r"(?:\S+\s+){0,%d}\S*$" % AROUND)
 
 
@@ -240,7 +247,8 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     """Stretches of trimmed words around those with a digit or an at sign, apart from one another."""
     found: list[list[tuple[int, int]]] = []
     at, length = 0, len(text)
-    while hit := _TRIGGER.search(text, at):
+    trigger = trigger_of(text)
+    while hit := trigger.search(text, at):
         # from the words before the hit ...
         left = hit.start()
         reach = max(at, left - 40 * AROUND)
@@ -253,7 +261,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             if a < b:
                 words.append((a, b))
             if pos > left:
-                after = AROUND if _TRIGGER.search(m[0]) else after - 1
+                after = AROUND if trigger.search(m[0]) else after - 1
                 if after < 0:
                     break
         at = max(pos, hit.end())

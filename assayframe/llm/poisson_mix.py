@@ -70,22 +70,21 @@ def mix(
 
     ``weights`` has the columns ``source`` and ``weight``.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in OWN])
+    kept = [c for c in docs.columns if c not in OWN]
     rates = source_rates(docs, source, text, weights, budget).cache()
-    keyed = docs.withColumn("_source", source_key(source))
+    # the row travels as one struct, so that none of its columns can clash
+    keyed = docs.select(
+        F.struct(*[F.col(c) for c in kept]).alias("row"), source_key(source).alias("_source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("own_id"))
     if len(rates.select("_source").take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         rated = keyed.join(F.broadcast(rates.select("_source", "parts", "cdf")), "_source")
     else:
         rated = lookup(keyed, rates.select("_source", "n", "parts", "cdf"), "_source")
-    own_id = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    draw = lambda part: uniform(F.lit(f"poisson-{seed}"), own_id, part.cast("string"))
-    copies = F.aggregate(
-        F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0),
-        lambda n, part: n + _passed(F.col("cdf"), draw(part)))
+    draw = lambda part: uniform(F.lit(f"poisson-{seed}"), F.col("own_id"), part.cast("string"))
+    copies = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda n, part: n + _passed(F.col("cdf"), draw(part)))
     counted = rated.withColumn("n_copies", copies).where(F.col("n_copies") > 0)
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    shuffled = copied.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"mix-{seed}"), own_id, F.col("copy").cast("string"))))
-    return shuffled.select(*docs.columns, *OWN).repartition("mix_key").sortWithinPartitions("mix_key")
+    shuffled = copied.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"mix-{seed}"), F.col("own_id"), F.col("copy").cast("string"))))
+    return shuffled.select("row", *OWN).repartition("mix_key").sortWithinPartitions("mix_key").select("row.*", *OWN)
 
 
 def _passed(cdf: Column, u: Column) -> Column:
