@@ -246,25 +246,27 @@ _PRECEDING = re.compile(r"(?:\S+\s+){0,%d}\S*$" % AROUND)
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """Stretches of trimmed words around those with a digit or an at sign, apart from one another."""
     found: list[list[tuple[int, int]]] = []
-    at, length = 0, len(text)
+    at, free, length = 0, 0, len(text)  # ``free``: where the words after the last stretch begin
     trigger = trigger_of(text)
     while hit := trigger.search(text, at):
-        # from the words before the hit ...
         left = hit.start()
-        reach = max(at, left - 40 * AROUND)
-        start = reach + _PRECEDING.search(text[reach:left]).start()
-        words, after, pos = [], AROUND, start
-        # ... to the last of ``AROUND`` plain words after it
-        while pos < length and (m := _WORD.search(text, pos)):
-            pos = m.end()
+        reach = max(free, left - 40 * AROUND)
+        at = reach + _PRECEDING.search(text[reach:left]).start()
+        while at > free and not text[at - 1].isspace():  # a long word from its beginning
+            at -= 1
+        words, kept, gap = [], 0, 0
+        # on to the last word that has a trigger at most twice ``AROUND`` words before it, since stretches must not touch
+        while gap <= 2 * AROUND and at < length and (m := _WORD.search(text, at)):
+            at = m.end()
             a, b = trimmed(text, *m.span())
             if a < b:
                 words.append((a, b))
-            if pos > left:
-                after = AROUND if trigger.search(m[0]) else after - 1
-                if after < 0:
-                    break
-        at = max(pos, hit.end())
+                gap += 1
+            if at > left and trigger.search(m[0]):
+                kept, gap = len(words), 0
+        at = max(at, hit.end())
+        words = words[: kept + AROUND]
+        free = words[-1][1] if words else at
         found.append(words)
     return [w for w in found if w]
 

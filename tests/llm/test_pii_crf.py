@@ -89,3 +89,15 @@ def test_frames(spark):
     masked = [r[0] for r in found.select(S.masked(F.col("text"), F.col("spans"))).collect()]
     assert masked == ["é mail <email>, ip <ip>; card <card> tel <phone> and <email>", None, "", "é mail <email>, ip <ip>; card <card> tel <phone> and <email>", "nothing"]
     assert P.personal_data(df.limit(0)).collect() == []
+
+
+def test_windows_cover_every_word_with_a_trigger():
+    r = random.Random(6)
+    for _ in range(2000):
+        text = "".join(r.choice(["a ", "bb ", "1 ", "x@y ", "... ", "2.5, ", "\n", "(at) ", "#1# "]) for _ in range(r.randrange(0, 60)))
+        words = [w for window in P.windows(text) for w in window]
+        assert words == sorted(set(words))
+        for m in re.finditer(r"\S+", text):
+            a, b = P.trimmed(text, *m.span())
+            if a < b and re.search(r"[0-9@]|\(at\)", text[a:b]):
+                assert (a, b) in words
