@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayframe.functions.coerce import percent, rounded
@@ -22,13 +25,14 @@ from assayframe.plans.wide import MAX_EXPRESSIONS, long_aggregate, small_frame,
 # Report sizes and thresholds.
 TOP_LABELS = 15
 TOP_PAIRS = 10
-ETA_LEVELS = 30
 ETA_CELLS = 10
 ETA_SHOWN = 0.5
 CRAMERS_SHOWN = 0.4
-MAX_RELATIONSHIPS = 120
 STRONG = 0.6
 
+# Pairs of label columns that one scan of the table spreads out and folds again.
+PAIRS_PER_SCAN = 60
+
 # A variance this small against the squared cell size is numeric noise.
 NOISE = 1e-14
 
@@ -45,11 +49,10 @@ def numeric_modes(table: Facts | DataFrame) -> DataFrame:
     if not facts.numeric:
         return small_frame(spark, [], "column string, mode double")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), facts.number(c).alias("v")) for c in facts.numeric])
-    return (
-        facts.df.select(F.inline(cells)).where(F.col("v").isNotNull())
-        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"))
-    )
+    counts = facts.df.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    # two hash aggregates over the counts; ordering by a struct would sort every distinct value
+    most = counts.groupBy("column").agg(F.max("n").alias("n"))
+    return counts.join(F.broadcast(most), ["column", "n"]).groupBy("column").agg(F.min("v").alias("mode"))
 
 
 def numeric_shape(table: Facts | DataFrame) -> DataFrame:
@@ -134,34 +137,56 @@ def _centred(facts: Facts, c: str) -> Column:
     return facts.number(c) - F.lit(shift or 0.0)
 
 
+def _pair_sums(numbers: DataFrame) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of all pairs of columns of doubles, over the rows where both are present.
+
+    One scan: every task multiplies its batches, gaps as zeros, with the masks of what is present, and reports one
+    row per pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            here = ~np.isnan(cells)
+            x, m = np.where(here, cells, 0.0), here.astype(float)
+            found = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            sums = found if sums is None else sums + found
+        if sums is not None:
+            i, j = np.triu_indices(sums.shape[1], 1)
+            both, one, square, product = sums
+            columns = [i, j, both[i, j].astype(np.int64), one[i, j], one[j, i], square[i, j], square[j, i], product[i, j]]
+            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = numbers.mapInArrow(run, "i int, j int, n bigint, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
 def correlation_pairs(table: Facts | DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(x, y, n, r)``: Pearson correlation of each pair of numerical columns.
 
-    Cells count only where both are present. One scan of plain sums; pairs
-    without gaps share the sums of their columns.
+    Cells count only where both are present. One scan for all pairs; r is NULL for a column that
+    is constant or holds infinite values.
     """
     facts = Facts.of(table)
     columns = facts.numeric if columns is None else columns
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return small_frame(facts.df.sparkSession, [], "x string, y string, n bigint, r double")
-    entries = []
-    for a, b in pairs:
-        x, y = _centred(facts, a), _centred(facts, b)
-        gaps = [facts.summary[c]["numbers"] < facts.summary[c]["rows"] for c in (a, b)]
-        xa = F.when(y.isNotNull(), x) if gaps[1] else x
-        yb = F.when(x.isNotNull(), y) if gaps[0] else y
-        entries.append((
-            {"x": a, "y": b},
-            {"n": F.count(x * y), "sx": F.sum(xa), "sy": F.sum(yb), "sxx": F.sum(xa * xa), "syy": F.sum(yb * yb), "sxy": F.sum(x * y)},
-        ))
+    spark = facts.df.sparkSession
+    if len(columns) < 2:
+        return small_frame(spark, [], "x string, y string, n bigint, r double")
+    finite = [facts.summary[c]["finite"] == facts.summary[c]["numbers"] for c in columns]
+    sums = _pair_sums(facts.df.select(*[_centred(facts, c).alias(f"c{i}") for i, c in enumerate(columns)]))
+    named = small_frame(spark, [(i, c, int(f)) for i, (c, f) in enumerate(zip(columns, finite))], "place int, name string, finite int")
+    pairs = small_frame(spark, [(i, j) for i, j in combinations(range(len(columns)), 2)], "i int, j int").join(sums, ["i", "j"], "left")
+    for side, label in (("i", "x"), ("j", "y")):
+        pairs = pairs.join(F.broadcast(named.select(F.col("place").alias(side), F.col("name").alias(label), F.col("finite").alias(f"finite_{label}"))), side)
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    sound = (n > 1) & (vx > NOISE * F.col("sxx")) & (vy > NOISE * F.col("syy"))
+    sound = (n > 1) & (vx > NOISE * F.col("sxx")) & (vy > NOISE * F.col("syy")) & (F.col("finite_x") + F.col("finite_y") == 2)
     r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
-    return long_aggregate(facts.df, entries).select(
-        "x", "y", "n", F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")
+    return pairs.select(
+        "x", "y", F.coalesce(n, F.lit(0)).alias("n"), F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")
     )
 
 
@@ -180,22 +205,24 @@ def correlation_matrix(table: Facts | DataFrame) -> DataFrame:
     return pairs.select(F.inline(both)).unionByName(diagonal)
 
 
+def worded_correlations(table: Facts | DataFrame) -> DataFrame:
+    """All defined correlations with their sign and wording."""
+    r = F.col("r")
+    return correlation_pairs(table).where(r.isNotNull()).select(
+        "x", "y", "r", sign_word(r).alias("direction"),
+        F.concat_ws(" ", strength_word(r), sign_word(r), F.lit("linear relationship")).alias("detail"))
+
+
 def top_correlations(table: Facts | DataFrame, top: int = TOP_PAIRS) -> DataFrame:
     """The strongest pairs by absolute correlation, with their sign and wording."""
-    r = F.col("r")
-    return (
-        correlation_pairs(table).where(r.isNotNull())
-        .orderBy(F.desc(F.abs(r)), "x", "y").limit(top)
-        .select("x", "y", "r", sign_word(r).alias("direction"),
-                F.concat_ws(" ", strength_word(r), sign_word(r), F.lit("linear relationship")).alias("detail"))
-    )
+    return worded_correlations(table).orderBy(F.desc(F.abs("r")), "x", "y").limit(top)
 
 
 # -- numbers with labels --------------------------------------------------------
 
 
-def eta(table: Facts | DataFrame, max_levels: int = ETA_LEVELS) -> DataFrame:
-    """``(cat, num, n, eta)`` for label columns with few levels.
+def eta(table: Facts | DataFrame, max_levels: int | None = None) -> DataFrame:
+    """``(cat, num, n, eta)`` for all label columns, or those with at most ``max_levels`` levels.
 
     Each row yields one struct per label column; partial aggregation folds them
     to one row per level and task, with centred sums of every number.
@@ -204,7 +231,7 @@ def eta(table: Facts | DataFrame, max_levels: int = ETA_LEVELS) -> DataFrame:
     if not facts.labelled or not facts.numeric:
         return small_frame(facts.df.sparkSession, [], "cat string, num string, n bigint, eta double")
     levels = facts.counts(facts.labelled).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()
-    few = {r["column"] for r in levels if 2 <= r["u"] <= max_levels}
+    few = {r["column"] for r in levels if r["u"] >= 2 and (max_levels is None or r["u"] <= max_levels)}
     cats = [c for c in facts.labelled if c in few]
     if not cats:
         return small_frame(facts.df.sparkSession, [], "cat string, num string, n bigint, eta double")
@@ -243,28 +270,32 @@ def eta(table: Facts | DataFrame, max_levels: int = ETA_LEVELS) -> DataFrame:
 # -- labels with labels ---------------------------------------------------------
 
 
-def contingency(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = None, max_pairs: int = MAX_RELATIONSHIPS // 3) -> DataFrame:
-    """``(x, y, a, b, n)``: rows per combination of labels for the first pairs of label columns."""
+def contingency(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``(x, y, a, b, n)``: rows per combination of labels, for all pairs of label columns or the given ones."""
     facts = Facts.of(table)
-    pairs = list(combinations(facts.labelled, 2))[:max_pairs] if pairs is None else pairs
+    pairs = list(combinations(facts.labelled, 2)) if pairs is None else pairs
     if not pairs:
         return small_frame(facts.df.sparkSession, [], "x string, y string, a string, b string, n bigint")
-    cells = F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), facts.text(x).alias("a"), facts.text(y).alias("b")) for x, y in pairs
-    ])
-    return (
-        facts.df.select(F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    parts = []
+    for first in range(0, len(pairs), PAIRS_PER_SCAN):
+        cells = F.array(*[
+            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), facts.text(x).alias("a"), facts.text(y).alias("b"))
+            for x, y in pairs[first : first + PAIRS_PER_SCAN]
+        ])
+        parts.append(
+            facts.df.select(F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+            .groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        )
+    return union_all(parts)
 
 
-def cramers_v(table: Facts | DataFrame, max_pairs: int = MAX_RELATIONSHIPS // 3) -> DataFrame:
-    """``(x, y, n, v)`` for the first pairs of label columns with at least two levels each.
+def cramers_v(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``(x, y, n, v)`` for all pairs of label columns, or the given ones, with at least two levels each.
 
     Chi-square is ``n * (sum(o^2 / (row * column)) - 1)``, so only the observed
     combinations are needed.
     """
-    counts = contingency(table, max_pairs=max_pairs)
+    counts = contingency(table, pairs)
     row = F.sum("n").over(Window.partitionBy("x", "y", "a"))
     column = F.sum("n").over(Window.partitionBy("x", "y", "b"))
     per_pair = (
@@ -282,10 +313,10 @@ def cramers_v(table: Facts | DataFrame, max_pairs: int = MAX_RELATIONSHIPS // 3)
 # -- all associations -------------------------------------------------------------
 
 
-def relationships(table: Facts | DataFrame, max_rows: int = MAX_RELATIONSHIPS) -> DataFrame:
-    """Notable associations of all three sorts, strongest first."""
+def relationships(table: Facts | DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Associations of all three sorts, strongest first: every defined correlation, and notable eta and Cramér's V."""
     facts = Facts.of(table)
-    numbers = top_correlations(facts).select(
+    numbers = worded_correlations(facts).select(
         F.lit("num-num").alias("type"), "x", "y", F.col("r").alias("metric"), F.lit("Pearson corr").alias("metric_name"),
         "direction", "detail",
     )
@@ -295,13 +326,25 @@ def relationships(table: Facts | DataFrame, max_rows: int = MAX_RELATIONSHIPS) -
         F.lit("Eta (association)").alias("metric_name"), F.lit("").alias("direction"),
         F.format_string("Category of %s explains ~%.0f%% of variance in %s", "cat", 100 * e * e, "num").alias("detail"),
     )
-    labels = cramers_v(facts, max_rows // 3).where(F.col("v") >= CRAMERS_SHOWN).select(
+    labels = cramers_v(facts).where(F.col("v") >= CRAMERS_SHOWN).select(
         F.lit("cat-cat").alias("type"), "x", "y", F.col("v").alias("metric"), F.lit("Cramér's V").alias("metric_name"),
         F.lit("").alias("direction"), F.format_string("Strong association between categories %s and %s", "x", "y").alias("detail"),
     )
-    return union_all([numbers, mixed, labels]).orderBy(F.desc(F.abs("metric")), "type", "x", "y").limit(max_rows)
+    found = union_all([numbers, mixed, labels]).orderBy(F.desc(F.abs("metric")), "type", "x", "y")
+    return found if max_rows is None else found.limit(max_rows)
 
 
 def strong_relationships(table: Facts | DataFrame) -> DataFrame:
     """Associations of absolute strength 0.6 and above."""
     return relationships(table).where(F.abs("metric") >= STRONG).orderBy(F.desc(F.abs("metric")), "type", "x", "y")
+
+
+def eda_suite(table: Facts | DataFrame) -> dict[str, DataFrame]:
+    """All EDA tables of one input over shared facts."""
+    facts = Facts.of(table)
+    return {
+        "numeric": describe(facts),
+        "categorical": category_summary(facts),
+        "correlations": correlation_matrix(facts),
+        "relationships": relationships(facts),
+    }

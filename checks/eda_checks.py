@@ -212,7 +212,7 @@ def _(spark, sf):
 RELATED = [
     PRICED, PRICED_PAIRS, _eta("priced", PRICED_NUMBERS, PRICED_LABELS), _tables("priced", PRICED_LABELS),
     f"""related AS (SELECT * FROM (SELECT 'num-num' AS "type", x, y, r AS metric, 'Pearson corr' AS metric_name, {SIGN} AS direction, {WORDS} AS detail
-      FROM pairs WHERE r IS NOT NULL ORDER BY abs(pairs.r) DESC, x, y LIMIT 10)
+      FROM pairs WHERE r IS NOT NULL)
     UNION ALL SELECT 'num-cat', cat, num, eta, 'Eta (association)', '', printf('Category of %s explains ~%.0f%% of variance in %s', cat, 100 * eta * eta, num) FROM etas WHERE eta >= 0.5
     UNION ALL SELECT 'cat-cat', x, y, v, 'Cramér''s V', '', 'Strong association between categories ' || x || ' and ' || y FROM vs WHERE v >= 0.4)""",
 ]
@@ -226,3 +226,28 @@ def _(spark, sf):
 @check("strong_relationships", f"WITH {', '.join(RELATED)} SELECT \"type\", x, y, {r('metric')} AS metric, metric_name, direction, detail FROM related WHERE abs(related.metric) >= 0.6")
 def _(spark, sf):
     return round_all(eda.strong_relationships(priced_lines(spark, sf)))
+
+
+# -- many label columns: every pair counts, also the last ------------------------------------------
+
+MANY = {f"c{i:02d}": f"'v' || CAST((o_orderkey * {i + 3} + o_custkey) % {i + 2} AS VARCHAR)" for i in range(10)}
+MANY |= {"twin_a": "'t' || CAST(o_orderkey % 35 AS VARCHAR)", "twin_b": "'T' || CAST(o_orderkey % 35 AS VARCHAR)"}
+MANY_SQL = f"many AS (SELECT o_totalprice, {', '.join(f'{e} AS {c}' for c, e in MANY.items())} FROM orders)"
+
+
+def many_labels(spark, sf):
+    """Twelve label columns, of which the last two tell the same, with more than thirty levels."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    views = [F.concat(F.lit("v"), ((key * (i + 3) + customer) % (i + 2)).cast("string")).alias(f"c{i:02d}") for i in range(10)]
+    twins = [F.concat(F.lit(t), (key % 35).cast("string")).alias(c) for t, c in (("t", "twin_a"), ("T", "twin_b"))]
+    return read(spark, sf, "orders").select("o_totalprice", *views, *twins)
+
+
+@check("cramers_v_many", f"WITH {MANY_SQL}, {_tables('many', {c: c for c in MANY})} SELECT x, y, n, {r('v')} AS v FROM vs")
+def _(spark, sf):
+    return round_all(eda.cramers_v(many_labels(spark, sf)))
+
+
+@check("eta_many_levels", f"WITH {MANY_SQL}, {_eta('many', {'o_totalprice': 'o_totalprice'}, {c: c for c in MANY})} SELECT cat, num, n, {r('eta')} AS eta FROM etas")
+def _(spark, sf):
+    return round_all(eda.eta(many_labels(spark, sf)))
