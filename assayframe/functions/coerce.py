@@ -119,9 +119,14 @@ def as_boolean(col: Column, dtype: T.DataType) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """Decimal text without exponent or trailing zeros, the same on every engine."""
-    fixed = value.try_cast("decimal(38,10)").cast("string")
-    return F.coalesce(F.regexp_replace(fixed, r"\.?0+$", ""), value.cast("string"))
+    """Decimal text without exponent or trailing zeros, the same on every engine.
+
+    A value that ten decimals do not tell apart from its neighbours keeps its shortest full notation, so that distinct
+    values have distinct texts; -0.0 reads as 0.
+    """
+    fixed = value.try_cast("decimal(38,10)")
+    exact = F.when(fixed.cast("double") == value.cast("double"), F.regexp_replace(fixed.cast("string"), r"\.?0+$", ""))
+    return F.coalesce(exact, (value + F.lit(0.0)).cast("string"))
 
 
 def as_text(col: Column, dtype: T.DataType) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.functions.coerce import rounded
@@ -25,9 +23,7 @@ STACK_Y = 6
 MATRIX_COLUMNS = 6
 DAILY_ABOVE = 40
 SCATTER_ROWS = 8_000
-MAX_CHARTS = 8
 PIE_CARDINALITY = 20
-BOX_COLUMNS = 10
 
 
 # -- single columns -------------------------------------------------------------
@@ -252,38 +248,45 @@ def interesting_categories(table: Facts | DataFrame) -> DataFrame:
     )
 
 
-def chart_plan(table: Facts | DataFrame, max_charts: int = MAX_CHARTS) -> DataFrame:
-    """``(seq, chart, columns, reason)``: the charts worth drawing, in fixed order."""
-    facts = Facts.of(table)
-    spark = facts.df.sparkSession
-    numeric = facts.numeric
-    plan: list[tuple[str, str, str]] = []
-    # At most one row per column, and one relationship: bounded by the schema.
-    shapes = numeric_shape(facts).select("seq", "column", "skew", "distribution_label").orderBy("seq").collect()
-    if shapes:
-        top = max(shapes, key=lambda r: abs(r["skew"]) if r["skew"] is not None and math.isfinite(r["skew"]) else 0.0)
-        plan.append(("histogram", top["column"], f"Numeric column; distribution classified as '{top['distribution_label']}'"))
-    if len(shapes) >= 2:
-        plan.append(("scatter matrix", ", ".join(numeric), "Multiple numeric columns — multivariate view"))
-    if len(numeric) >= 2:
-        plan.append(("box plots", ", ".join(numeric[:BOX_COLUMNS]), "Compare scale/outliers across numeric columns"))
-    labels = interesting_categories(facts).collect() if facts.labelled else []
-    if labels:
-        best = labels[0]["column"]
-        plan.append(("bar", best, "Categorical column — ranks the most frequent values"))
-        others = sorted((r for r in labels if r["column"] != best), key=lambda r: r["seq"])
-        if others and others[0]["n_unique"] <= PIE_CARDINALITY:
-            plan.append(("pie", others[0]["column"], "Categorical column with modest cardinality — share view"))
-    booleans, dates = facts.of_kind("boolean"), facts.of_kind("datetime")
-    if booleans:
-        plan.append(("donut", booleans[0], "Boolean distribution"))
-    if dates:
-        plan.append(("time series", ", ".join(dates[:1] + numeric[:1]), "Datetime column detected — trend over time"))
-    if numeric:
-        plan.append(("correlation heatmap", ", ".join(numeric), "Pairwise linear relationships between numeric columns"))
-    if len(plan) < max_charts:
-        for r in strong_relationships(facts).limit(1).collect():
-            shape = {"num-num": "scatter", "num-cat": "grouped box", "cat-cat": "stacked bar"}[r["type"]]
-            plan.append((shape, f"{r['x']}, {r['y']}", f"{r['metric_name']} = {r['metric']:.2f} ({r['detail']})"))
-    rows = [(i, *p) for i, p in enumerate(plan[:max_charts])]
-    return small_frame(spark, rows, "seq int, chart string, columns string, reason string")
+# The charts in their order, each with its condition, the columns it shows and its reason, over the fields of ``_choice``.
+CHART_RULES = [
+    ("'histogram'", "steepest IS NOT NULL", "steepest.column", "concat('Numeric column; distribution classified as \\'', steepest.label, '\\'')"),
+    ("'scatter matrix'", "size(shapes) > 1", "array_join(numeric, ', ')", "'Multiple numeric columns — multivariate view'"),
+    ("'box plots'", "size(numeric) > 1", "array_join(numeric, ', ')", "'Compare scale/outliers across numeric columns'"),
+    ("'bar'", "best IS NOT NULL", "best.column", "'Categorical column — ranks the most frequent values'"),
+    ("'pie'", f"other.n_unique <= {PIE_CARDINALITY}", "other.column", "'Categorical column with modest cardinality — share view'"),
+    ("'donut'", "size(booleans) > 0", "booleans[0]", "'Boolean distribution'"),
+    ("'time series'", "size(dates) > 0", "concat_ws(', ', dates[0], get(numeric, 0))", "'Datetime column detected — trend over time'"),
+    ("'correlation heatmap'", "size(numeric) > 0", "array_join(numeric, ', ')", "'Pairwise linear relationships between numeric columns'"),
+    ("CASE strongest.type WHEN 'num-num' THEN 'scatter' WHEN 'num-cat' THEN 'grouped box' ELSE 'stacked bar' END", "strongest IS NOT NULL",
+     "concat_ws(', ', strongest.x, strongest.y)", "format_string('%s = %.2f (%s)', strongest.metric_name, strongest.metric, strongest.detail)"),
+]
+
+
+def _choice(facts: Facts) -> DataFrame:
+    """One row with what the rules ask for: names by kind, the steepest distribution, the best labels, the strongest association."""
+    def names(*kinds: str) -> Column:
+        return F.array(*[F.lit(c) for c in facts.of_kind(*kinds)]).cast("array<string>")
+
+    steep = F.when(F.abs("skew") < float("inf"), F.abs("skew")).otherwise(0.0)
+    shapes = numeric_shape(facts).agg(F.collect_list(F.struct(steep.alias("steep"), (-F.col("seq")).alias("place"), "column", F.col("distribution_label").alias("label"))).alias("shapes"))
+    if facts.labelled:
+        labels = interesting_categories(facts).agg(F.collect_list(F.struct((-F.col("score")).alias("rank"), "seq", "column", "n_unique")).alias("labels"))
+    else:
+        labels = small_frame(facts.df.sparkSession, [(1,)], "one int").select(F.array().cast("array<struct<rank:int,seq:int,column:string,n_unique:bigint>>").alias("labels"))
+    strong = strong_relationships(facts).withColumn("order", -F.abs("metric"))
+    strongest = strong.agg(F.min(F.struct("order", "type", "x", "y", "metric", "metric_name", "detail")).alias("strongest"))
+    # three rows of one line each
+    return (
+        shapes.join(F.broadcast(labels), F.lit(True)).join(F.broadcast(strongest), F.lit(True))
+        .withColumns({"numeric": names("numerical"), "booleans": names("boolean"), "dates": names("datetime")})
+        .withColumns({"steepest": F.array_max("shapes"), "best": F.array_min("labels")})
+        .withColumn("other", F.expr("array_min(transform(filter(labels, l -> l.column <> best.column), l -> struct(l.seq, l.column, l.n_unique)))"))
+    )
+
+
+def chart_plan(table: Facts | DataFrame, max_charts: int | None = None) -> DataFrame:
+    """``(seq, chart, columns, reason)``: the charts worth drawing, in fixed order; all unless ``max_charts`` is given."""
+    rules = ", ".join(f"IF({when}, struct({chart} AS chart, {columns} AS columns, {reason} AS reason), NULL)" for chart, when, columns, reason in CHART_RULES)
+    chosen = _choice(Facts.of(table)).select(F.posexplode(F.expr(f"filter(array({rules}), r -> r IS NOT NULL)")).alias("seq", "r")).select("seq", "r.*")
+    return chosen if max_charts is None else chosen.where(F.col("seq") < max_charts)

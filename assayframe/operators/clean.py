@@ -20,29 +20,15 @@ from assayframe.operators.fuzzy import THRESHOLD, label_map
 from assayframe.operators.kinds import Kind, detect_kinds
 from assayframe.operators.outliers import IQR_FACTOR, MIN_CELLS, Z_THRESHOLD, outlier_tests
 from assayframe.plans.carry import directional_fill
-from assayframe.plans.duplicates import comparable
+from assayframe.plans.duplicates import comparable, fresh, without_nan
 from assayframe.plans.durable import durable
 from assayframe.plans.facts import Facts
 from assayframe.plans.quantiles import exact_quantiles
 from assayframe.plans.wide import long_aggregate
 
-# Method and action vocabularies with their descriptions.
-IMPUTE_METHODS = {
-    "drop": "Drop rows with missing values",
-    "mean": "Impute with column mean",
-    "median": "Impute with column median",
-    "mode": "Impute with column mode",
-    "ffill": "Forward fill",
-    "bfill": "Backward fill",
-    "constant": "Impute with a fixed value",
-}
-OUTLIER_ACTIONS = {
-    "flag": "Flag (add outlier column, keep data)",
-    "cap": "Cap/Winsorize to bounds",
-    "remove": "Remove outlier rows",
-}
-
-GONE = "_gone"
+# Method and action vocabularies.
+IMPUTE_METHODS = ("drop", "mean", "median", "mode", "ffill", "bfill", "constant")
+OUTLIER_ACTIONS = ("flag", "cap", "remove")
 
 # A label map up to this size is sent to every task.
 BROADCAST_BYTES = 32_000_000
@@ -90,6 +76,9 @@ def _filled(df: DataFrame, column: str, method: str, value) -> Column:
         return F.coalesce(col, F.lit(str(value)).try_cast(dtype))
     if isinstance(dtype, T.StringType):
         return F.coalesce(col, plain_number(F.lit(float(value))))
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        # the other cells keep their type and every digit; a whole-number column gets the nearest whole number
+        return F.coalesce(col, F.round(F.lit(float(value)), getattr(dtype, "scale", 0)).try_cast(dtype))
     return F.coalesce(col.cast("double"), F.lit(float(value)))
 
 
@@ -106,7 +95,7 @@ def impute(
     Means and medians written into a text column keep its other cells as text.
     ``ffill`` and ``bfill`` need ``order_by`` and may be confined to ``keys``.
     """
-    df = comparable(df)
+    df = without_nan(df)
     if method in ("drop", ""):
         return df.where(_col(column).isNotNull())
     if method not in IMPUTE_METHODS:
@@ -180,7 +169,7 @@ def standardise_labels(
 def flag_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR, z_threshold: float = Z_THRESHOLD) -> DataFrame:
     """Add ``<column>_is_outlier`` for every column that has outliers."""
     facts = Facts.of(table)
-    return facts.visible(facts.df.withColumns(_outlier_flags(facts, iqr_factor, z_threshold)))
+    return facts.visible(facts.with_parsed(facts.native).withColumns(_outlier_flags(facts, iqr_factor, z_threshold)))
 
 
 def _outlier_flags(facts: Facts, iqr_factor: float, z_threshold: float) -> dict[str, Column]:
@@ -205,20 +194,27 @@ def _capped(facts: Facts, column: str, low: float, high: float) -> Column:
             F.when(x < F.lit(low), plain_number(F.lit(low))).when(x > F.lit(high), plain_number(F.lit(high)))
             .otherwise(facts.col(column))
         )
-    return F.when(x < F.lit(low), F.lit(low)).when(x > F.lit(high), F.lit(high)).otherwise(x)
+    inside = present(facts.col(column), dtype)
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        # fences are moved inwards to the next value of the type, so that a capped cell lies within them
+        scale = 10 ** getattr(dtype, "scale", 0)
+        low_cell = (F.ceil(F.lit(low * scale)) / scale).try_cast(dtype)
+        high_cell = (F.floor(F.lit(high * scale)) / scale).try_cast(dtype)
+        return F.when(x < F.lit(low), F.coalesce(low_cell, inside)).when(x > F.lit(high), F.coalesce(high_cell, inside)).otherwise(inside)
+    return F.when(x < F.lit(low), F.lit(low).cast(dtype)).when(x > F.lit(high), F.lit(high).cast(dtype)).otherwise(inside)
 
 
 def cap_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR) -> DataFrame:
     """Winsorise numerical columns to their interquartile fences."""
     facts = Facts.of(table)
     fences = facts.fences(iqr_factor, MIN_CELLS)
-    return facts.visible(facts.df.withColumns({c: _capped(facts, c, *fences[c]) for c in fences}))
+    return facts.visible(facts.with_parsed(facts.native).withColumns({c: _capped(facts, c, *fences[c]) for c in fences}))
 
 
 def remove_outliers(table: Facts | DataFrame, iqr_factor: float = IQR_FACTOR) -> DataFrame:
     """Drop rows that are interquartile outliers in any numerical column."""
     facts = Facts.of(table)
-    return facts.visible(facts.df.where(~_any_outlier(facts, iqr_factor)))
+    return facts.visible(facts.with_parsed(facts.native).where(~_any_outlier(facts, iqr_factor)))
 
 
 def _any_outlier(facts: Facts, iqr_factor: float) -> Column:
@@ -263,11 +259,13 @@ class CleaningRun:
     def __init__(self, df: DataFrame, kinds: dict[str, Kind] | None = None, options: CleaningOptions | None = None, order_by: str | None = None):
         self.options = options or CleaningOptions()
         self.order_by = order_by
-        self.source = comparable(df)
+        self.source = without_nan(df)
+        own = fresh("_clean", df)
+        self._gone, self._hit, self._was = f"{own}_gone", f"{own}_hit", f"{own}_was"
         self.columns = [c for c in df.columns if c != order_by]
-        self.kinds = kinds or detect_kinds(self.source.select(*[f"`{c}`" for c in self.columns]))
+        self.kinds = kinds or detect_kinds(comparable(self.source.select(*[f"`{c}`" for c in self.columns])))
         self._lines: list[_LogLine] = []
-        self._marked = self.source.withColumn(GONE, F.lit(False))
+        self._marked = self.source.withColumn(self._gone, F.lit(False))
         self._deduplicate()
         self._impute()
         if self.options.correct_types:
@@ -280,11 +278,11 @@ class CleaningRun:
     # Steps work on the rows that are still there.
 
     def _alive(self) -> DataFrame:
-        return self._marked.where(~F.col(GONE)).select(*[f"`{c}`" for c in self._marked.columns if not c.startswith("_hit") and c != GONE])
+        return self._marked.where(~F.col(self._gone)).select(*[f"`{c}`" for c in self._marked.columns if not c.startswith((self._hit, self._gone))])
 
     def _mark(self, hit: Column, operation: str, columns: str, detail: str, only_if_hit: bool = False) -> None:
-        marker = f"_hit{len(self._lines)}"
-        self._marked = self._marked.withColumn(marker, F.coalesce(~F.col(GONE) & hit, F.lit(False)))
+        marker = f"{self._hit}{len(self._lines)}"
+        self._marked = self._marked.withColumn(marker, F.coalesce(~F.col(self._gone) & hit, F.lit(False)))
         self._lines.append(_LogLine(operation, columns, detail, marker, only_if_hit))
 
     def _deduplicate(self) -> None:
@@ -292,7 +290,7 @@ class CleaningRun:
         if not o.drop_duplicates:
             return
         kept = drop_duplicates(self.source, o.dedup_subset or self.columns, self.order_by)
-        self._marked = kept.withColumn(GONE, F.lit(False))
+        self._marked = kept.withColumn(self._gone, F.lit(False))
         self._lines.append(_LogLine("duplicate-removal", ", ".join(o.dedup_subset or ["all"]), "Removed %d duplicate rows", "dedup"))
 
     def _impute(self) -> None:
@@ -303,7 +301,7 @@ class CleaningRun:
                 self._fill_pending(pending)
                 pending = {}
                 self._mark(_col(c).isNull(), "missing-drop", c, f"Dropped %d rows with missing {c.replace('%', '%%')}")
-                self._marked = self._marked.withColumn(GONE, F.col(GONE) | _col(c).isNull())
+                self._marked = self._marked.withColumn(self._gone, F.col(self._gone) | _col(c).isNull())
             else:
                 pending[c] = m
         self._fill_pending(pending)
@@ -313,6 +311,7 @@ class CleaningRun:
             return
         values = _fill_values(self._alive(), {c: m for c, m in methods.items() if m in ("mean", "median", "mode")})
         values.update({c: self.options.constants.get(c) for c, m in methods.items() if m == "constant"})
+        carried: dict[str, list[str]] = {}
         for c, m in methods.items():
             if m not in IMPUTE_METHODS:
                 self._lines.append(_LogLine("missing-impute", c, f"Could not impute using '{m}': Unknown method: {m}", None))
@@ -322,11 +321,13 @@ class CleaningRun:
                 continue
             self._mark(_col(c).isNull(), "missing-impute", c, f"Imputed %d missing values using '{m}'")
             if m in ("ffill", "bfill"):
-                alive = self._marked.where(~F.col(GONE))
-                filled = directional_fill(alive, [c], self.order_by, self.options.fill_keys, backward=m == "bfill")
-                self._marked = filled.unionByName(self._marked.where(F.col(GONE)))
+                carried.setdefault(m, []).append(c)
             else:
                 self._marked = self._marked.withColumn(c, _filled(self._marked, c, m, values[c]))
+        for m, columns in carried.items():  # one pass for all columns of a direction
+            alive = self._marked.where(~F.col(self._gone))
+            filled = directional_fill(alive, columns, self.order_by, self.options.fill_keys, backward=m == "bfill")
+            self._marked = filled.unionByName(self._marked.where(F.col(self._gone)))
 
     def _correct_types(self) -> None:
         wording = {"numerical": "numeric", "datetime": "datetime"}
@@ -349,7 +350,7 @@ class CleaningRun:
         columns = [c for c in self.columns if self.kinds[c].kind == "categorical" and isinstance(self._marked.schema[c].dataType, T.StringType)]
         if not columns:
             return
-        before = {c: f"_was_{i}" for i, c in enumerate(columns)}
+        before = {c: f"{self._was}{i}" for i, c in enumerate(columns)}
         kept = self._marked.withColumns({name: _col(c) for c, name in before.items()})
         self._marked = standardise_labels(kept, columns, merge_fuzzy=o.merge_fuzzy, threshold=o.fuzzy_threshold)
         extra = " + fuzzy merge" if o.merge_fuzzy else ""
@@ -384,7 +385,7 @@ class CleaningRun:
         else:
             hit = _any_outlier(facts, o.iqr_factor)
             self._mark(hit, "outlier-remove", "all", "Removed %d rows flagged as IQR outliers")
-            self._marked = self._marked.withColumn(GONE, F.col(GONE) | hit)
+            self._marked = self._marked.withColumn(self._gone, F.col(self._gone) | hit)
         self._marked = facts.visible(self._marked)
 
     # Results.
@@ -400,7 +401,7 @@ class CleaningRun:
         markers = [line.marker for line in self._lines if line.marker and line.marker != "dedup"]
         counts = self._marked.agg(
             F.count(F.lit(1)).alias("kept"),
-            F.count_if(~F.col(GONE)).alias("final"),
+            F.count_if(~F.col(self._gone)).alias("final"),
             *[F.count_if(F.col(m)).alias(m) for m in markers],
         )
         rows_before = self.source.agg(F.count(F.lit(1)).alias("n")).scalar()

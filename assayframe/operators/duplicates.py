@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayframe.functions.coerce import percent
-from assayframe.plans.duplicates import comparable, duplicate_groups, repeated_rows
+from assayframe.functions.coerce import as_text, is_nested, percent
+from assayframe.plans.duplicates import duplicate_groups, repeated_rows, without_nan
 from assayframe.plans.facts import Facts
 
 
@@ -51,15 +51,18 @@ def drop_duplicates(df: DataFrame, subset: list[str] | None = None, order_by: st
     window, so copies collapse on the map side and a hot key never fills a task.
     Without it any representative does, which for whole rows is the same thing.
     """
-    if order_by is None:
-        return df.dropDuplicates(subset)
     keys = subset if subset is not None else [c for c in df.columns if c != order_by]
-    rest = [c for c in df.columns if c not in keys]
-    clean = comparable(df)
-    earliest = clean.groupBy(*[f"`{k}`" for k in keys]).agg(
-        F.min_by(F.struct(*[f"`{c}`" for c in rest]), order_by).alias("_row")
-    )
-    return earliest.select(*[F.col(f"`{c}`") if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    nested = [k for k in keys if is_nested(df.schema[k].dataType)]
+    clean = without_nan(df)
+    if order_by is None and not nested:
+        return df.dropDuplicates(subset)
+    # nested cells are compared as canonical text, and come back as they are
+    views = [as_text(F.col(f"`{k}`"), df.schema[k].dataType).alias(f"k{i}") if k in nested else F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys or c in nested])
+    row = F.any_value(whole) if order_by is None else F.min_by(whole, f"`{order_by}`")
+    earliest = clean.groupBy(*views).agg(row.alias("row"))
+    place = {k: f"k{i}" for i, k in enumerate(keys) if k not in nested}
+    return earliest.select(*[(F.col(place[c]) if c in place else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def duplicates_removed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -17,14 +17,13 @@ from assayframe.operators.validation import type_issues, validate
 from assayframe.plans.facts import Facts
 from assayframe.plans.wide import union_all
 
-# Rule thresholds and report sizes.
+# Rule thresholds and report sizes. The sentences of the rules below are fixed values as well.
 HIGH_SKEW = 1.5
 MILD_SKEW = 0.5
 HIGH_CV = 2
 MISSING_INFO = 1
 MISSING_WARNING = 5
 MISSING_COLUMN = 10
-TOP_COLUMNS = 5
 OUTLIER_SHARE = 2
 REDUNDANT = 0.9
 DENSE = 100
@@ -121,9 +120,8 @@ def quality_insights(facts: Facts, as_of: dt.datetime | None = None) -> DataFram
     place = F.array_position(F.array(*[F.lit(c) for c in facts.columns]), F.col("column"))
     name = F.col("column")
     gaps = missing_by_column(facts).where(F.col("missing_pct") > MISSING_COLUMN)
-    gaps = gaps.orderBy(F.desc("missing"), place).limit(TOP_COLUMNS)
     missing = F.format_string("Column '%s' is missing %s%% of its values (%,d cells).", name, _fmt(F.col("missing_pct")), F.col("missing"))
-    issues = type_issues(facts).orderBy(place).limit(TOP_COLUMNS)
+    issues = type_issues(facts)
     mistyped = F.format_string(
         "'%s' contains %d values that don't parse as %s (e.g. '%s').", name, "anomalous_count", "detected_as", "examples"
     )

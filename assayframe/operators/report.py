@@ -19,22 +19,6 @@ from assayframe.operators.validation import type_issues, validate
 from assayframe.plans.facts import Facts
 from assayframe.plans.wide import union_all
 
-# Rows shown per section and characters per cell.
-SECTION_ROWS = {
-    "overview": 1,
-    "profile": 30,
-    "missing": 1,
-    "duplicates": 1,
-    "outliers": 20,
-    "type_issues": 20,
-    "validation": 25,
-    "cleaning_log": 60,
-    "insights": 25,
-    "relationships": 10,
-    "score": 6,
-}
-CELL_CHARS = 80
-
 
 def quality_suite(table: Facts | DataFrame, as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
     """All quality tables of one input over shared facts."""
@@ -49,11 +33,12 @@ def quality_suite(table: Facts | DataFrame, as_of: dt.datetime | None = None) ->
     }
 
 
-def _section(name: str, frame: DataFrame) -> DataFrame:
-    """Numbered JSON rows of one section, cut to its size; cells are cut to a fixed width."""
-    shown = frame.limit(SECTION_ROWS[name])
-    cells = [F.substring(F.col(f"`{c}`").cast("string"), 1, CELL_CHARS).alias(c) for c in frame.columns]
-    # The section has at most sixty rows here, so one task numbers them.
+def _section(name: str, frame: DataFrame, max_rows: int | None, max_chars: int | None) -> DataFrame:
+    """Numbered JSON rows of one section."""
+    shown = frame if max_rows is None else frame.limit(max_rows)
+    texts = {c: F.col(f"`{c}`").cast("string") for c in frame.columns}
+    cells = [(t if max_chars is None else F.substring(t, 1, max_chars)).alias(c) for c, t in texts.items()]
+    # A section has a few rows per column or pair of columns of the table, so one task numbers them.
     place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(F.monotonically_increasing_id()))
     return shown.select(F.lit(name).alias("section"), place.alias("seq"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("payload"))
 
@@ -64,8 +49,14 @@ def report(
     generated_at: str | None = None,
     as_of: dt.datetime | None = None,
     cleaning_log: DataFrame | None = None,
+    max_rows: dict[str, int] | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """``(section, seq, payload)`` for overview, profile, quality, cleaning, insights, relationships and score."""
+    """``(section, seq, payload)`` for overview, profile, quality, cleaning, insights, relationships and score.
+
+    Everything is reported; ``max_rows`` (by section) and ``max_chars`` (of a cell) shorten it. Call ``release`` on the
+    facts passed in when the report is written.
+    """
     facts = Facts.of(table).share()
     stamp = generated_at or dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     score = quality_score(facts, as_of)
@@ -79,7 +70,7 @@ def report(
         "profile": profile(facts).select(*columns),
         "missing": missing_totals(facts),
         "duplicates": duplicate_summary(facts),
-        "outliers": outliers(facts),
+        "outliers": outliers(facts).orderBy("column", "method"),
         "type_issues": type_issues(facts),
         "validation": validate(facts, as_of).drop("detail"),
         "insights": insights(facts, as_of, cleaning_log),
@@ -88,4 +79,4 @@ def report(
     }
     if cleaning_log is not None:
         sections["cleaning_log"] = cleaning_log
-    return union_all([_section(name, frame) for name, frame in sections.items()])
+    return union_all([_section(name, frame, (max_rows or {}).get(name), max_chars) for name, frame in sections.items()])

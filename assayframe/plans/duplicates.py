@@ -7,6 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayframe.functions.coerce import as_text, is_float, is_nested, present
 
 
+def fresh(prefix: str, df: DataFrame) -> str:
+    """``prefix`` with as many underscores before it as keep it off the table's own column names."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """The table with NaN as NULL; every column keeps its type."""
+    changed = {f.name: present(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if is_float(f.dataType)}
+    return df.withColumns(changed) if changed else df
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """The table with NaN as NULL and nested cells as canonical text."""
     changed = {

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.functions.coerce import as_boolean, as_number, as_text, as_timestamp
 from assayframe.operators.kinds import Kind, detect_kinds
-from assayframe.plans.duplicates import comparable
+from assayframe.plans.duplicates import comparable, fresh, without_nan
 from assayframe.plans.frequency import value_counts
 from assayframe.plans.quantiles import TASK_LIMIT, exact_quantiles
 from assayframe.plans.wide import long_aggregate, small_frame
@@ -42,6 +42,7 @@ class Facts:
         order_by: str | None = None,
         task_limit: int = TASK_LIMIT,
     ):
+        self.native = without_nan(df)  # what cleaning returns: every column as it came
         self.table = comparable(df)
         self.order_by = order_by
         self.task_limit = task_limit
@@ -80,7 +81,8 @@ class Facts:
     def _parsed(self) -> dict[str, str]:
         """Hidden column with the parsed cells of each numerical or datetime text column."""
         texts = [c for c in self.of_kind("numerical", "datetime") if isinstance(self.dtype(c), T.StringType)]
-        return {c: f"_parsed{i}" for i, c in enumerate(texts)}
+        prefix = fresh("_parsed", self.table)
+        return {c: f"{prefix}{i}" for i, c in enumerate(texts)}
 
     @cached_property
     def df(self) -> DataFrame:

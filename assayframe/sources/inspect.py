@@ -26,7 +26,7 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def file_heads(files: DataFrame) -> DataFrame:
-    """``(path, size, head)``: the first bytes of each file, read by the tasks."""
+    """``(path, size, head)``: the first bytes of each file, the whole first line among them, read by the tasks."""
 
     def read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import unquote, urlparse
@@ -42,7 +42,11 @@ def file_heads(files: DataFrame) -> DataFrame:
                 else:
                     system, name = fs.FileSystem.from_uri(location)
                 with system.open_input_file(name) as stream:
-                    heads.append(stream.read(HEAD_BYTES))
+                    head = stream.read(HEAD_BYTES)
+                    # on to the end of the first line, however long it is
+                    while not (b"\n" in head or b"\r" in head) and (more := stream.read(HEAD_BYTES)):
+                        head += more
+                    heads.append(head)
             yield batch.assign(head=heads)
 
     return files.mapInPandas(read_heads, "path string, size bigint, head binary")
@@ -63,22 +67,27 @@ def _mark(head: Column) -> Column:
     return F.when(start.startswith("EFBBBF"), "utf-8").when(start.startswith("FFFE") | start.startswith("FEFF"), "utf-16")
 
 
-def detect_delimiters(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, delimiter)`` from the first line of each file."""
-    heads = file_heads(list_files(spark, path))
+def first_lines(heads: DataFrame) -> DataFrame:
+    """``(path, header, delimiter)`` from the first line of each file."""
     text = F.when(_mark(F.col("head")) == "utf-16", F.decode("head", "UTF-16")).otherwise(F.decode("head", "ISO-8859-1"))
     first = F.element_at(F.split(text, r"\r\n|\r|\n", 2), 1)
-    return heads.select("path", best_delimiter(first).alias("delimiter"))
+    return heads.select("path", first.alias("header"), best_delimiter(first).alias("delimiter"))
+
+
+def detect_delimiters(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, delimiter)`` from the first line of each file."""
+    return first_lines(file_heads(list_files(spark, path))).select("path", "delimiter")
 
 
 def inspect_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, size, encoding, delimiter, quoted_newlines)`` of each text file.
+    """``(path, size, encoding, delimiter, header, quoted_newlines)`` of each text file.
 
     A file is UTF-8 when every raw line is valid UTF-8, else windows-1252 or
     latin-1. A line with an odd number of quotes means that quoted fields run
     over line ends.
     """
-    heads = file_heads(list_files(spark, path)).select("path", "size", _mark(F.col("head")).alias("mark"))
+    read = file_heads(list_files(spark, path))
+    heads = read.select("path", "size", _mark(F.col("head")).alias("mark"))
     raw = F.col("value")
     hexed = F.hex(raw.cast("binary"))
     lines = (
@@ -94,7 +103,7 @@ def inspect_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     guess = F.when(F.coalesce("utf8", F.lit(True)), "utf-8").when(F.col("gaps"), "latin-1").otherwise("cp1252")
     return (
         heads.join(lines, "path", "left")
-        .join(detect_delimiters(spark, path), "path")
-        .select("path", "size", F.coalesce("mark", guess).alias("encoding"), "delimiter",
+        .join(first_lines(read), "path")
+        .select("path", "size", F.coalesce("mark", guess).alias("encoding"), "delimiter", "header",
                 F.coalesce("open_quotes", F.lit(False)).alias("quoted_newlines"))
     )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import PurePosixPath
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assayframe.functions.coerce import as_text
+from assayframe.plans.durable import durable
 from assayframe.sources.inspect import file_heads, inspect_text, list_files
 from assayframe.sources.typing import blank_tokens, infer_types
 from assayframe.sources.workbook import read_workbooks
@@ -81,24 +83,27 @@ def read_delimited(
     na_tokens: list[str] | None = None,
     with_row_id: bool = False,
 ) -> Loaded:
-    """Read delimited text with a header, finding encoding and delimiter per file.
+    """Read delimited text with a header, finding encoding, delimiter and columns per file.
 
-    Files that look alike are read together. Only files whose quoted fields run
-    over line ends, or that are UTF-16, are read unsplit.
+    Files with the same header and form are read together, others are matched by
+    column name. Only files whose quoted fields run over line ends, or that are
+    UTF-16, are read unsplit. File names reach the driver only if files differ.
     """
-    found = inspect_text(spark, path)
-    groups = (
-        found.groupBy("encoding", "delimiter", "quoted_newlines")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"), F.sum("size").alias("size"))
-        .orderBy("encoding", "delimiter", "quoted_newlines")
-        .collect()
-    )
+    found = durable(inspect_text(spark, path))
+    form = ["encoding", "delimiter", "quoted_newlines", "header"]
+    sizes = found.groupBy(*form).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).orderBy(*form).collect()
+    groups = [g.asDict() for g in sizes]
+    for g in groups:
+        same = F.lit(True)
+        for c in form:
+            same = same & F.col(c).eqNullSafe(F.lit(g[c]))
+        g["paths"] = path if len(groups) == 1 else [r["path"] for r in found.where(same).select("path").orderBy("path").collect()]
     parts = []
     for g in groups:
         use_encoding, use_delimiter = encoding or g["encoding"], delimiter or g["delimiter"]
         unsplit = g["quoted_newlines"] or use_encoding.lower().startswith("utf-16")
         part = (
-            spark.read.option("header", True).option("sep", use_delimiter).option("encoding", _spark_charset(spark, use_encoding))
+            spark.read.option("header", True).option("recursiveFileLookup", "true").option("sep", use_delimiter).option("encoding", _spark_charset(spark, use_encoding))
             .option("multiLine", unsplit).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
             .csv(g["paths"])
         )
@@ -106,18 +111,26 @@ def read_delimited(
         if use_encoding.lower() == "cp1252" and _spark_charset(spark, use_encoding) != "windows-1252":
             part = _as_cp1252(part)
         parts.append(part)
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
-    df = infer_types(blank_tokens(df, na_tokens))
+    df = infer_types(blank_tokens(by_name(parts), na_tokens))
     encodings = sorted({encoding or g["encoding"] for g in groups})
     delimiters = sorted({delimiter or g["delimiter"] for g in groups})
     return Loaded(
         df, str(path), "csv", "|".join(encodings) if len(encodings) > 1 else encodings[0],
-        delimiters[0] if len(delimiters) == 1 else None, files=sum(len(g["paths"]) for g in groups), size_bytes=sum(g["size"] for g in groups),
+        delimiters[0] if len(delimiters) == 1 else None, files=sum(g["files"] for g in groups), size_bytes=sum(g["size"] for g in groups),
     )
 
 
+def by_name(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, matched by column name; columns whose types differ become text."""
+    types: dict[str, set[str]] = {}
+    for part in parts:
+        for c, t in part.dtypes:
+            types.setdefault(c, set()).add(t)
+    mixed = {c for c, t in types.items() if len(t) > 1}
+    texts = [part.withColumns({c: as_text(F.col(f"`{c}`"), part.schema[c].dataType) for c in part.columns if c in mixed}) for part in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texts)
+
+
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON arrays of records, or single objects over several lines."""
     return spark.read.option("multiLine", True).option("recursiveFileLookup", "true").json(path)
@@ -140,9 +153,8 @@ def read_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return infer_types(rows.orderBy("file", F.expr("try_cast(key AS BIGINT)"), "key").drop("file", "key"))
 
 
-def json_layout(spark: SparkSession, path: str | list[str]) -> str:
-    """``records``, ``columns`` or ``lines``, told from the head of the first file."""
-    heads = file_heads(list_files(spark, path)).orderBy("path").limit(1)
+def json_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, size, layout)`` of each file: ``records``, ``columns`` or ``lines``, told from its head."""
     text = F.trim(F.regexp_replace(F.decode("head", "UTF-8"), "^\ufeff", ""))
     layout = (
         F.when(text.rlike(r"^\s*\["), "records")
@@ -150,15 +162,35 @@ def json_layout(spark: SparkSession, path: str | list[str]) -> str:
         .when(text.rlike(r"^\s*\{[^\n]*\}\s*(\n|$)"), "lines")
         .otherwise("records")
     )
-    row = heads.select(layout.alias("layout")).first()
+    return file_heads(list_files(spark, path)).select("path", "size", layout.alias("layout"))
+
+
+def json_layout(spark: SparkSession, path: str | list[str]) -> str:
+    """The layout of one file."""
+    row = json_layouts(spark, path).orderBy("path").first()
     return row["layout"] if row else "records"
 
 
 def read_json(spark: SparkSession, path: str | list[str]) -> Loaded:
-    """Read JSON of any of the three layouts."""
-    reader = {"records": read_records, "columns": read_columns, "lines": read_lines}[json_layout(spark, path)]
+    """Read JSON files of the three layouts, each file by its own."""
+    readers = {"records": read_records, "columns": read_columns, "lines": read_lines}
+    found = durable(json_layouts(spark, path))
+    groups = found.groupBy("layout").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).orderBy("layout").collect()
+    parts = [
+        readers[g["layout"]](spark, path if len(groups) == 1 else [r["path"] for r in found.where(F.col("layout") == g["layout"]).select("path").orderBy("path").collect()])
+        for g in groups
+    ]
+    return Loaded(
+        by_name(parts) if parts else read_records(spark, path), str(path), "json", "utf-8",
+        files=sum(g["files"] for g in groups), size_bytes=sum(g["size"] for g in groups))
+
+
+def read_sheets(spark: SparkSession, path: str | list[str]) -> Loaded:
+    """Read workbooks, the first sheet of each."""
+    df, sheets = read_workbooks(spark, path)
     totals = list_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).first()
-    return Loaded(reader(spark, path), str(path), "json", "utf-8", files=totals["files"], size_bytes=totals["size"] or 0)
+    note = (f"Workbook has sheets: {', '.join(sheets[:10])}",)
+    return Loaded(infer_types(blank_tokens(df)), str(path), "xlsx", files=totals["files"], size_bytes=totals["size"] or 0, messages=note)
 
 
 def load_dataset(
@@ -168,21 +200,21 @@ def load_dataset(
     delimiter: str | None = None,
     max_rows: int | None = None,
 ) -> Loaded:
-    """Read a file or folder by its extension; nothing is cut unless ``max_rows`` is given."""
-    suffix = PurePosixPath(path).suffix.lower()
-    if not suffix:
-        sample = list_files(spark, path).select("path").orderBy("path").first()
-        suffix = PurePosixPath(sample["path"]).suffix.lower() if sample else ".csv"
-    kind = READERS.get(suffix, "csv")
-    if kind == "json":
-        loaded = read_json(spark, path)
-    elif kind == "xlsx":
-        df, sheets = read_workbooks(spark, path)
-        totals = list_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).first()
-        note = (f"Workbook has sheets: {', '.join(sheets[:10])}",)
-        loaded = Loaded(infer_types(blank_tokens(df)), path, "xlsx", files=totals["files"], size_bytes=totals["size"] or 0, messages=note)
-    else:
-        loaded = read_delimited(spark, path, encoding, delimiter)
+    """Read a file, or every file of a folder by its own extension; nothing is cut unless ``max_rows`` is given."""
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    kinds = F.coalesce(*[F.when(suffix == s, kind) for s, kind in READERS.items()], F.lit("csv"))
+    files = list_files(spark, path).select("path", kinds.alias("kind"))
+    found = sorted(r["kind"] for r in files.select("kind").distinct().collect()) or ["csv"]
+    parts = []
+    for kind in found:
+        where = path if len(found) == 1 else [r["path"] for r in files.where(F.col("kind") == kind).select("path").orderBy("path").collect()]
+        parts.append(read_json(spark, where) if kind == "json" else read_sheets(spark, where) if kind == "xlsx" else read_delimited(spark, where, encoding, delimiter))
+    loaded = parts[0]
+    if len(parts) > 1:
+        known = lambda name: "|".join(sorted({v for p in parts if (v := getattr(p, name))})) or None
+        loaded = Loaded(
+            by_name([p.df for p in parts]), path, "|".join(found), known("encoding"), known("delimiter"),
+            files=sum(p.files for p in parts), size_bytes=sum(p.size_bytes for p in parts), messages=tuple(m for p in parts for m in p.messages))
     if max_rows is not None:
         loaded.truncated = loaded.df.limit(max_rows + 1).count() > max_rows
         loaded.df = loaded.df.limit(max_rows)

@@ -195,3 +195,25 @@ _GAPS = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in DIRTY_COL
       UNION ALL SELECT 'after', count(*), 12, CAST(sum({_GAPS}) AS BIGINT) FROM cleaned""", *STEPS))
 def _(spark, sf):
     return clean.before_after(dirty_keyed(spark, sf), cleaning_run(spark, sf).cleaned)
+
+
+# -- types stay as they are ---------------------------------------------------------------
+
+IDS = """SELECT o_orderkey, o_orderkey + 9007199254740993 AS big_id, CAST(CAST(o_totalprice AS DECIMAL(20, 4)) AS VARCHAR) AS price FROM orders"""
+
+
+@check("cap_keeps_types", IDS)
+def _(spark, sf):
+    price = F.col("o_totalprice").cast("decimal(20,4)")
+    orders = read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + 9007199254740993).alias("big_id"), price.alias("price"))
+    capped = clean.cap_outliers(orders, 100.0)
+    assert capped.schema == orders.schema
+    return capped.withColumn("price", F.col("price").cast("string"))
+
+
+@check("clean_keeps_arrays", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dims, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def _(spark, sf):
+    vectors = read(spark, sf, "embeddings")
+    run = clean.CleaningRun(vectors.unionByName(vectors.where("vec_id % 7 = 0")), options=clean.CleaningOptions(drop_duplicates=True, outlier_action="remove", iqr_factor=1e6))
+    assert run.cleaned.schema["embedding"].dataType == vectors.schema["embedding"].dataType
+    return run.cleaned.select("vec_id", "label", F.size("embedding").alias("dims"), F.col("embedding")[0].cast("double").alias("first"))

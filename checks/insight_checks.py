@@ -23,7 +23,7 @@ FOUND = f"""found AS (
   UNION ALL SELECT 'relationship', 'info', 'eta' FROM etas WHERE eta >= 0.6
   UNION ALL SELECT 'relationship', 'info', 'v' FROM vs WHERE v >= 0.6
   UNION ALL SELECT 'relationship', 'info', 'r' FROM (SELECT corr(total, x) AS r FROM (SELECT total, {DIRTY_NUMBERS['qty_txt']} AS x FROM d)) WHERE abs(r) >= 0.6
-  UNION ALL SELECT 'data_issue', 'warning', 'gaps' FROM (SELECT col FROM cells GROUP BY col HAVING {pct('count(*) - count(v)', 'count(*)')} > 10 ORDER BY count(*) - count(v) DESC LIMIT 5)
+  UNION ALL SELECT 'data_issue', 'warning', 'gaps' FROM (SELECT col FROM cells GROUP BY col HAVING {pct('count(*) - count(v)', 'count(*)')} > 10)
   UNION ALL SELECT 'data_issue', 'warning', 'types' FROM ({TYPE_ISSUES_BODY}) WHERE anomalous_count > 0
   UNION ALL SELECT 'anomaly', 'warning', 'outliers' FROM ({OUTLIERS_BODY}) WHERE method = 'IQR' AND outliers > 0 AND share_pct >= 2
   UNION ALL SELECT 'data_issue', 'warning', 'labels' FROM (SELECT DISTINCT "column" FROM ({INCONSISTENT_BODY}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from assayframe.operators import duplicates, kinds, missing, profile
 from assayframe.plans.facts import Facts
 from checks.inputs import DIRTY_COLUMNS, dirty_keyed, dirty_orders, read
@@ -247,3 +249,9 @@ def _(spark, sf):
 def _(spark, sf):
     table = dirty_orders(spark, sf)
     return duplicates.duplicates_removed(table, duplicates.drop_duplicates(table))
+
+
+@check("unique_small_doubles", "SELECT 'tiny' AS \"column\", count(DISTINCT CAST(o_custkey AS DOUBLE) * 1e-13) AS \"unique\" FROM orders")
+def _(spark, sf):
+    tiny = read(spark, sf, "orders").select((F.col("o_custkey").cast("double") * 1e-13).alias("tiny"))
+    return profile.profile(Facts(tiny)).select("column", "unique")

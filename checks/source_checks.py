@@ -109,10 +109,53 @@ def _(spark, sf):
     return readers.read_delimited(spark, path).df
 
 
-@check("encoding_class")
+@check("csv_swapped_headers", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal FROM customer")
 def _(spark, sf):
     path = scratch(spark)
-    texts = read(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\xff]|[\x80-\x9f]", "?").alias("text"))
+    customer = read(spark, sf, "customer")
+    customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.option("header", True).csv(f"{path}/a")
+    customer.where("c_custkey % 2 = 1").select("c_acctbal", "c_name", "c_custkey").write.option("header", True).csv(f"{path}/b")
+    return readers.load_dataset(spark, path).df.select("c_custkey", "c_name", "c_acctbal")
+
+
+@check("csv_long_ids", """SELECT 1234567890123456000 + c_custkey AS long_id, CAST(CAST(CAST('98765432109876543210' AS HUGEINT) + c_custkey AS HUGEINT) AS VARCHAR) AS longer_id,
+  repeat('7', 40) || CAST(c_custkey AS VARCHAR) AS text_id FROM customer""")
+def _(spark, sf):
+    path = scratch(spark)
+    key = F.col("c_custkey")
+    longer = (F.lit("98765432109876543210").cast("decimal(38,0)") + key).cast("decimal(38,0)")
+    ids = read(spark, sf, "customer").select((key + 1234567890123456000).alias("long_id"), longer.alias("longer_id"), F.concat(F.repeat(F.lit("7"), 40), key.cast("string")).alias("text_id"))
+    sinks.write_csv(ids, path)
+    found = readers.load_dataset(spark, path).df
+    assert dict(found.dtypes) == {"long_id": "bigint", "longer_id": "decimal(38,0)", "text_id": "string"}
+    return found.withColumn("longer_id", F.col("longer_id").cast("string"))
+
+
+@check("json_mixed_layouts", CUSTOMER)
+def _(spark, sf):
+    path = scratch(spark)
+    customer = read(spark, sf, "customer")
+    customer.where("c_custkey % 2 = 0").write.json(f"{path}/lines")
+    chunk = F.floor(F.col("c_custkey") / 500).alias("chunk")
+    arrays = customer.where("c_custkey % 2 = 1").groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*customer.columns))).alias("value"))
+    arrays.repartitionByRange("chunk").write.partitionBy("chunk").text(f"{path}/arrays")
+    return readers.read_json(spark, path).df.select(*customer.columns)
+
+
+@check("mixed_folder", CUSTOMER)
+def _(spark, sf):
+    path = scratch(spark)
+    customer = read(spark, sf, "customer")
+    customer.where("c_custkey % 2 = 0").write.json(f"{path}/json")
+    sinks.write_csv(customer.where("c_custkey % 2 = 1"), f"{path}/csv")
+    return readers.load_dataset(spark, path).df.select(*customer.columns)
+
+
+@check("encoding_class", """SELECT 'UTF-8' AS folder, 'utf-8' AS encoding WHERE EXISTS (SELECT 1 FROM documents)
+  UNION ALL SELECT 'ISO-8859-1', CASE WHEN EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, '[\u00a0-\u00ff]')) THEN 'cp1252' ELSE 'utf-8' END WHERE EXISTS (SELECT 1 FROM documents)""")
+def _(spark, sf):
+    path = scratch(spark)
+    texts = read(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\xff]|[\x80-\x9f]", "?").alias("text")).coalesce(1)
     for encoding in ("UTF-8", "ISO-8859-1"):
         texts.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(f"{path}/{encoding}")
     folder = F.element_at(F.split("path", "/"), -2).alias("folder")
