@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayframe.functions.coerce import rounded
 from assayframe.functions.stats import histogram_bins
 from assayframe.operators.eda import category_labels, correlation_matrix, numeric_shape, strong_relationships
+from assayframe.operators.kinds import Kind
 from assayframe.operators.outliers import IQR_FACTOR
 from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group
@@ -29,9 +30,16 @@ PIE_CARDINALITY = 20
 # -- single columns -------------------------------------------------------------
 
 
+def _only(table: Facts | DataFrame, column: str) -> Facts:
+    """Facts of one named numerical column, which needs neither the kinds nor the summary of the others."""
+    if isinstance(table, Facts):
+        return table
+    return Facts(table.select(F.col(f"`{column}`")), kinds={column: Kind(column, "numerical", 1.0, "named by the caller", "")})
+
+
 def suggested_bins(table: Facts | DataFrame, column: str) -> int:
     """Freedman-Diaconis bin count of one column."""
-    facts = Facts.of(table)
+    facts = _only(table, column)
     quartiles, seen = facts.quantiles([0.25, 0.75], [column])[column], facts.summary[column]
     if not quartiles:
         return DEFAULT_BINS
@@ -47,7 +55,7 @@ def histogram(table: Facts | DataFrame, column: str, bins: int | None = DEFAULT_
 
     ``bins=None`` uses the suggested count.
     """
-    facts = Facts.of(table)
+    facts = _only(table, column)
     bins = bins or suggested_bins(facts, column)
     low, high = facts.summary[column]["low"], facts.summary[column]["high"]
     spark = facts.df.sparkSession
@@ -204,7 +212,7 @@ def scatter_sample(table: Facts | DataFrame, x: str, y: str, key: str, color: st
     facts = Facts.of(table)
     shade = [facts.text(color).alias("color")] if color else []
     points = facts.cells.select(F.col(key).alias("key"), facts.number(x).alias("x"), facts.number(y).alias("y"), *shade)
-    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(rows)
+    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).orderBy(F.md5(F.col("key").cast("string")), "key").limit(rows)
 
 
 def correlation_heatmap(table: Facts | DataFrame) -> DataFrame:

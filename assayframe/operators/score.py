@@ -11,7 +11,7 @@ from assayframe.operators.categories import label_groups
 from assayframe.operators.duplicates import duplicate_summary
 from assayframe.operators.missing import missing_totals
 from assayframe.operators.outliers import IQR_FACTOR, outliers
-from assayframe.operators.validation import type_issues, validate
+from assayframe.operators.validation import cell_rules, rule_totals, tally, type_rules
 from assayframe.plans.facts import Facts
 from assayframe.plans.wide import small_frame, union_all
 
@@ -36,18 +36,22 @@ def _measures(facts: Facts, as_of: dt.datetime | None, iqr_factor: float) -> Dat
     def total(expr) -> Column:
         return F.coalesce(F.sum(expr), F.lit(0))
 
+    # value rules and type rules in one scan, without their examples
+    types = type_rules(facts)
+    rules = types + cell_rules(facts, as_of)
+    tallied, mistyped = tally(facts, rules, rule_totals(facts, rules)), F.col("seq") < len(types)
     failures, severity = F.col("failures"), F.col("severity")
     labels = facts.counts(facts.of_kind("categorical", "text"))
     parts = [
         one(missing_totals(facts), completeness_pct=F.max("completeness_pct")),
         one(duplicate_summary(facts), duplicates=F.max("duplicate_rows")),
         one(
-            validate(facts, as_of),
+            tallied.where(~mistyped),
             weighted=total(failures * F.when(severity == "error", 1.5).otherwise(1.0)),
             violations=total(F.when(severity != "info", failures)),
             checks=F.count(F.lit(1)),
         ),
-        one(type_issues(facts), share_penalty=total(F.least(F.col("anomalous_share") * 0.6, F.lit(30.0))), mistyped=F.count(F.lit(1))),
+        one(tallied.where(mistyped), share_penalty=total(F.least(F.col("share_pct") * 0.6, F.lit(30.0))), mistyped=F.count(F.lit(1))),
         one(label_groups(labels), inconsistent=F.count_distinct("column")),
         one(outliers(facts, "IQR", iqr_factor), flagged=total("outliers"), tested=F.count(F.lit(1))),
     ]

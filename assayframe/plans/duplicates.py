@@ -30,23 +30,33 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
-def row_hash(df: DataFrame, columns: list[str]) -> Column:
-    """64-bit hash of the given cells; null positions are hashed too."""
+def _hashed_cells(df: DataFrame, columns: list[str]) -> list[Column]:
+    """What a row's hash is made of: which cells are null, and the cells, -0.0 as 0.0."""
     cells = [F.col(f"`{c}`") for c in columns]
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
     cells = [
         c + F.lit(0.0).cast(df.schema[name].dataType) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
         for c, name in zip(cells, columns)
     ]
-    return F.xxhash64(nulls, *cells)
+    return [nulls, *cells]
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """64-bit hash of the given cells; null positions are hashed too."""
+    return F.xxhash64(*_hashed_cells(df, columns))
+
+
+def row_fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two independent 64-bit hashes ``h1`` and ``h2`` of the given cells."""
+    cells = _hashed_cells(df, columns)
+    return [F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit("second"), *reversed(cells)).alias("h2")]
 
 
 def repeated_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose hash occurs more than once: a superset of all duplicated rows.
 
-    Only eight bytes per row are shuffled to find the repeated hashes. The full
-    rows move only when their hash is repeated, so a mostly unique table never
-    shuffles its payload.
+    Eight bytes per row are shuffled to find the repeated hashes; the join with
+    them shuffles full rows unless the repeated hashes are few enough to broadcast.
     """
     hashed = df.withColumn("_hash", row_hash(df, columns))
     repeated = (

@@ -102,7 +102,8 @@ def _(spark, sf):
     return round_all(found.withColumn("intercept", rounded(F.col("intercept"), 4)))
 
 
-@check("scatter_sample")
+@check("scatter_sample", """SELECT o_orderkey AS key, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y, o_orderstatus AS color FROM orders
+  WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 8000""")
 def _(spark, sf):
     return chartdata.scatter_sample(read(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey", "o_orderstatus")
 
