@@ -198,7 +198,9 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
             out.write("".join(sidecar).encode())
         return pd.DataFrame({"file": [name], "members": [count]})
 
-    return settled(decided.groupBy("archive").applyInPandas(run, "file string, members long"), "warc-files")
+    # the rows are few bytes for a whole archive each, so the number of tasks is set by the archives, not by their size
+    parts = max(1, decided.select("archive").distinct().count())
+    return settled(decided.repartition(parts, "archive").groupBy("archive").applyInPandas(run, "file string, members long"), "warc-files")
 
 
 def read_back(archives: DataFrame, folder: str) -> DataFrame:
@@ -237,4 +239,4 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """All four steps over ``pages`` (``page_id``, ``url``, ``html``) in a new shared folder."""
     folder = shared_folder(pages.sparkSession, "warc")
     found = write_streams(pages, folder)
-    return read_back(normalise(revisits(found, least_bytes), folder), folder)
+    return read_back(normalise(settled(revisits(found, least_bytes), "warc-decided"), folder), folder)
