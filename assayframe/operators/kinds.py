@@ -60,8 +60,9 @@ def kinds_frame(df: DataFrame, kinds: dict[str, Kind]) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, keep_in: int) -> DataFrame:
-    """A repeatable sample: about one row in ``keep_in``, chosen by the hash of ``key``."""
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(keep_in)) == 0)
+    """A repeatable sample: about one row in ``keep_in``, chosen by the MD5 of ``key``, the same on every engine."""
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.where(place % keep_in == 0)
 
 
 def detect_kinds(df: DataFrame, exact_unique: bool = False) -> dict[str, Kind]:

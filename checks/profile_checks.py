@@ -255,3 +255,8 @@ def _(spark, sf):
 def _(spark, sf):
     tiny = read(spark, sf, "orders").select((F.col("o_custkey").cast("double") * 1e-13).alias("tiny"))
     return profile.profile(Facts(tiny)).select("column", "unique")
+
+
+@check("hash_sample", "SELECT o_orderkey FROM orders WHERE CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 7 = 0")
+def _(spark, sf):
+    return kinds.hash_sample(read(spark, sf, "orders"), "o_orderkey", 7).select("o_orderkey")

@@ -227,3 +227,17 @@ def _(spark, sf):
     path = scratch(spark)
     write_workbooks(read(spark, sf, "customer").withColumn("chunk", F.floor(F.col("c_custkey") / 500)), path, "chunk")
     return readers.read_workbooks(spark, path)[0].transform(readers.infer_types)
+
+
+@check("load_capped", "SELECT least(count(*), 50) AS rows_loaded, count(*) > 50 AS truncated FROM part")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_csv(read(spark, sf, "part"), path)
+    return readers.load_dataset(spark, path, max_rows=50).metadata().select("rows_loaded", "truncated")
+
+
+@check("log_sink", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_log(read(spark, sf, "region"), path)
+    return readers.load_dataset(spark, path).df
