@@ -30,14 +30,20 @@ NUMBER_PATTERN = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 EMAIL_PATTERN = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE_PATTERN = r"^\+?\d[\d\s().-]{6,}$"
 
-# ISO dates with an optional time of day; slash dates are rewritten to ISO first.
+# ISO dates with an optional time of day; slashed, dotted and compact dates are rewritten to ISO first.
 ISO_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+TWELVE_HOURS = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
 SHORTEST_DATE = 8  # 2024-1-5
 SLASH_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})"
-SLASH_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+SLASH_YEAR_LAST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+DOTTED_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})"
+COMPACT = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
 NAMED_MONTH_FORMATS = {
     r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$": "d MMM yyyy",
+    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": "d MMM yy",
     r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
+    r"^\d{1,2}[ -][A-Za-z]{4,9}[ -]\d{4}$": "d MMMM yyyy",
+    r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$": "MMMM d, yyyy",
 }
 
 
@@ -75,15 +81,29 @@ def text_number(stripped: Column) -> Column:
     return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
 
 
-def text_timestamp(stripped: Column) -> Column:
-    """TIMESTAMP_NTZ view of stripped date-like text; the gate spares other text the patterns."""
-    dashed = F.regexp_replace(F.regexp_replace(stripped, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_MONTH_FIRST, "$3-$1-$2")
-    iso = F.when(stripped.contains("/"), dashed).otherwise(stripped)
+def text_timestamp(stripped: Column, day_first: bool = False) -> Column:
+    """TIMESTAMP_NTZ view of stripped date-like text; the gate spares other text the patterns.
+
+    ``day_first`` says how slashed dates with the year last are read; dotted dates begin with the day.
+    """
+    last = "$3-$2-$1" if day_first else "$3-$1-$2"
+    dashed = F.regexp_replace(F.regexp_replace(stripped, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_YEAR_LAST, last)
+    iso = (
+        F.when(stripped.contains("/"), dashed)
+        .when(stripped.rlike(DOTTED_DAY_FIRST), F.regexp_replace(stripped, DOTTED_DAY_FIRST, "$3-$2-$1"))
+        .when(F.length(stripped) == 8, F.regexp_replace(stripped, COMPACT, "$1-$2-$3"))
+        .otherwise(stripped)
+    )
     view = F.when(iso.rlike(ISO_TIMESTAMP), iso.try_cast("timestamp_ntz"))
+    clock = F.upper(F.regexp_replace(iso, r" ?([AaPp][Mm])$", " $1"))
+    seconds = F.when(clock.rlike(r":\d{2}:"), "yyyy-M-d h:mm:ss a").otherwise("yyyy-M-d h:mm a")
+    view = view.when(iso.rlike(TWELVE_HOURS), F.try_to_timestamp(clock, seconds).cast("timestamp_ntz"))
     for shape, pattern in NAMED_MONTH_FORMATS.items():
-        spaced = F.regexp_replace(stripped, "-", " ")
-        view = view.when(stripped.rlike(shape), F.try_to_date(spaced, pattern).cast("timestamp_ntz"))
-    return F.when((F.length(stripped) >= SHORTEST_DATE) & stripped.rlike(r"\d{4}"), view)
+        day = F.try_to_date(F.regexp_replace(stripped, "-", " "), pattern)
+        if pattern.endswith(" yy"):  # years 69 to 99 are of the last century
+            day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+        view = view.when(stripped.rlike(shape), day.cast("timestamp_ntz"))
+    return F.when((F.length(stripped) >= SHORTEST_DATE) & stripped.rlike(r"\d{4}|[A-Za-z]{3}[ -]\d{2}$"), view)
 
 
 def as_number(col: Column, dtype: T.DataType) -> Column:
@@ -99,14 +119,14 @@ def as_number(col: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def as_timestamp(col: Column, dtype: T.DataType) -> Column:
+def as_timestamp(col: Column, dtype: T.DataType, day_first: bool = False) -> Column:
     """TIMESTAMP_NTZ view of dates, timestamps and date-like text."""
     if isinstance(dtype, T.TimestampNTZType):
         return col
     if is_temporal(dtype):
         return col.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
-        return text_timestamp(strip(col))
+        return text_timestamp(strip(col), day_first)
     return F.lit(None).cast("timestamp_ntz")
 
 

@@ -108,12 +108,12 @@ def impute(
     return df.withColumn(column, _filled(df, column, method, value))
 
 
-def _typed(df: DataFrame, column: str, kind: str) -> Column | None:
+def _typed(df: DataFrame, column: str, kind: str, day_first: bool = False) -> Column | None:
     dtype = df.schema[column].dataType
     if kind == "numerical":
         return present(_col(column), dtype) if isinstance(dtype, T.NumericType) else as_number(_col(column), dtype)
     if kind == "datetime":
-        return as_timestamp(_col(column), dtype)
+        return as_timestamp(_col(column), dtype, day_first)
     if kind == "boolean":
         return as_boolean(_col(column), dtype)
     return None
@@ -122,7 +122,7 @@ def _typed(df: DataFrame, column: str, kind: str) -> Column | None:
 def correct_types(df: DataFrame, kinds: dict[str, Kind] | None = None) -> DataFrame:
     """Cast every column to the type of its kind; cells that do not fit become NULL."""
     kinds = kinds or detect_kinds(df)
-    views = {c: _typed(df, c, k.kind) for c, k in kinds.items() if c in df.columns}
+    views = {c: _typed(df, c, k.kind, k.day_first) for c, k in kinds.items() if c in df.columns}
     return df.withColumns({c: v for c, v in views.items() if v is not None})
 
 
@@ -333,7 +333,7 @@ class CleaningRun:
         wording = {"numerical": "numeric", "datetime": "datetime"}
         for c in self.columns:
             kind = self.kinds[c].kind
-            view = _typed(self._marked, c, kind)
+            view = _typed(self._marked, c, kind, self.kinds[c].day_first)
             if view is None:
                 continue
             if kind == "boolean":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.functions.coerce import (
     BOOL_TOKENS,
+    SLASH_YEAR_LAST,
     as_text,
     is_nested,
     is_temporal,
@@ -42,7 +43,7 @@ KIND_SCHEMA = "pos int, column string, kind string, confidence double, reason st
 
 
 # Facts gathered per column before deciding.
-EVIDENCE = {"n": "bigint", "tokens": "int", "numbers": "bigint", "dates": "bigint"}
+EVIDENCE = {"n": "bigint", "tokens": "int", "numbers": "bigint", "dates": "bigint", "by_month": "bigint", "by_day": "bigint"}
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,7 @@ class Kind:
     confidence: float
     reason: str
     dtype: str
+    day_first: bool = False  # how slashed dates of a text column are read
 
 
 def kinds_frame(df: DataFrame, kinds: dict[str, Kind]) -> DataFrame:
@@ -127,6 +129,11 @@ def _evidence(place: int, field: T.StructField) -> dict[str, Column]:
     if isinstance(dtype, T.StringType):
         evidence["numbers"] = F.count(text_number(stripped))
         evidence["dates"] = F.count(text_timestamp(stripped))
+        # slashed dates that only one order can read
+        parts = F.split(F.when(stripped.rlike(SLASH_YEAR_LAST), stripped), "/")
+        first, second = F.try_element_at(parts, F.lit(1)).try_cast("int"), F.try_element_at(parts, F.lit(2)).try_cast("int")
+        evidence["by_month"] = F.count_if((first <= 12) & (second > 12) & (second <= 31))
+        evidence["by_day"] = F.count_if((second <= 12) & (first > 12) & (first <= 31))
     return evidence
 
 
@@ -146,8 +153,11 @@ def _from_evidence(field: T.StructField, seen) -> Kind | None:
         return Kind(name, "text", 0.4, "Column is entirely empty", "empty")
     if (seen["numbers"] or 0) / n > NUMERIC_SHARE:
         return Kind(name, "numerical", 0.75, "Values look numeric but stored as text", f"{shown} (numeric-like)")
-    if (seen["dates"] or 0) / n > DATETIME_SHARE:
-        return Kind(name, "datetime", 0.9, f"{100 * seen['dates'] // n}% values parse as dates", shown)
+    # the order of day and month that more cells ask for; the others of the column then do not parse
+    day_first = (seen["by_day"] or 0) > (seen["by_month"] or 0)
+    dates = (seen["dates"] or 0) + (seen["by_day"] - seen["by_month"] if day_first else 0)
+    if dates / n > DATETIME_SHARE:
+        return Kind(name, "datetime", 0.9, f"{100 * dates // n}% values parse as dates", shown, day_first)
     return None
 
 

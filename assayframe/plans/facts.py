@@ -50,6 +50,7 @@ class Facts:
         self._kinds = kinds
         self._quantiles: dict[str, dict[float, float]] = {}
         self._shared: DataFrame | None = None
+        self._orders: dict[str, bool] = {}
 
     @classmethod
     def of(cls, table: "Facts | DataFrame") -> "Facts":
@@ -98,8 +99,8 @@ class Facts:
         """``df`` with the hidden parsed columns."""
         views = {}
         for c, name in self._parsed.items():
-            parse = as_number if self.kinds[c].kind == "numerical" else as_timestamp
-            views[name] = parse(self.col(c), self.dtype(c))
+            kind, col, dtype = self.kinds[c], self.col(c), self.dtype(c)
+            views[name] = as_number(col, dtype) if kind.kind == "numerical" else as_timestamp(col, dtype, kind.day_first)
         return df.withColumns(views) if views else df
 
     def visible(self, df: DataFrame) -> DataFrame:
@@ -120,7 +121,17 @@ class Facts:
     def timestamp(self, column: str) -> Column:
         if self._kinds is not None and self.kinds[column].kind == "datetime" and column in self._parsed:
             return F.col(self._parsed[column])
-        return as_timestamp(self.col(column), self.dtype(column))
+        return as_timestamp(self.col(column), self.dtype(column), self._day_first(column))
+
+    def _day_first(self, column: str) -> bool:
+        """How slashed dates of a text column are read; looked up for the one column if the kinds are not known."""
+        if self._kinds is not None:
+            return self.kinds[column].day_first
+        if not isinstance(self.dtype(column), T.StringType):
+            return False
+        if column not in self._orders:
+            self._orders[column] = detect_kinds(self.table.select(self.col(column)))[column].day_first
+        return self._orders[column]
 
     def boolean(self, column: str) -> Column:
         return as_boolean(self.col(column), self.dtype(column))

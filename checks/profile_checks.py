@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import duplicates, kinds, missing, profile
 from assayframe.plans.facts import Facts
+from assayframe.plans.wide import union_all
 from checks.inputs import DIRTY_COLUMNS, dirty_keyed, dirty_orders, read
 from checks.registry import ALL_TEXT, DIRTY_DATES, DIRTY_NUMBERS, LINE_NUMBERS, TEXT_COLUMNS, check, dirty, long, num, pct, plain, r, ts
 
@@ -260,3 +261,22 @@ def _(spark, sf):
 @check("hash_sample", "SELECT o_orderkey FROM orders WHERE CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 7 = 0")
 def _(spark, sf):
     return kinds.hash_sample(read(spark, sf, "orders"), "o_orderkey", 7).select("o_orderkey")
+
+
+# -- dates in many notations: each reads as the order's own date ------------------------------------
+
+NOTATIONS = ["dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMM-yy", "MMM d, yyyy", "yyyy/MM/dd", "M/d/yyyy h:mm a"]
+
+
+@check("date_notations", f"""SELECT n AS notation, 'datetime' AS kind, count(*) AS parsed, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_orderdate) AS days
+  FROM orders CROSS JOIN unnest({NOTATIONS}) AS t(n) GROUP BY n""")
+def _(spark, sf):
+    orders = read(spark, sf, "orders")
+    written = orders.select(*[F.date_format("o_orderdate", n).alias(f"n{i}") for i, n in enumerate(NOTATIONS)])
+    facts = Facts(written)
+    parts = [
+        facts.df.agg(F.count(t).alias("parsed"), F.min(t).alias("first"), F.max(t).alias("last"), F.count_distinct(t).alias("days"))
+        .select(F.lit(n).alias("notation"), F.lit(facts.kinds[f"n{i}"].kind).alias("kind"), "*")
+        for i, n in enumerate(NOTATIONS) for t in [facts.timestamp(f"n{i}")]
+    ]
+    return union_all(parts)
