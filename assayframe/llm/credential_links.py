@@ -109,8 +109,7 @@ def find(texts: list[str]) -> list[list[Span]]:
     found = []
     for text in texts:
         spans = base_spans(text)
-        # a linked credential holds an assignment or an identifier, and both hold one of these characters
-        if ("=" in text or ":" in text or spans) and _ANY_ID.search(text):
+        if _ANY_ID.search(text):
             spans += linked_spans(text, spans)
         found.append(spans)
     return found

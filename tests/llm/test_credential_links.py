@@ -60,6 +60,12 @@ def test_weak_parts_count_only_together(text, kinds):
     assert [s[0] for s in S.ordered(C.find([text])[0], C.KINDS)] == kinds
 
 
+@pytest.mark.parametrize("secret", [SECRET, "ghp_" + "a1B2c3D4e5" * 3])
+def test_bare_parts_side_by_side(secret):
+    assert [s[0] for s in S.ordered(C.find([f"ASIAIOSFODNN7EXAMPLE\n{secret}"])[0], C.KINDS)] == ["weak_id", "weak_secret"]
+    assert C.find([secret]) == C.find(["ASIAIOSFODNN7EXAMPLE"]) == [[]]
+
+
 def test_many_parts_and_long_texts():
     text = "user=bob pwd=hunter22x " * 20_000
     assert len(C.find([text])[0]) == 40_000
