@@ -62,7 +62,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     """``(text, zone)`` of every block in page order; white space is one space, character references are decoded.
 
     Open elements are tracked by name, so unclosed and stray tags do no harm; an article that begins inside unclosed
-    navigation or page header ends that. Comments, scripts, styles and a tag cut off at the end hold no text.
+    navigation or page header ends that. Comments, scripts, styles and a tag cut off at the end hold no text. Articles mark
+    the page only if they hold more than half of its text without furniture.
     """
     if not page:
         return []
@@ -135,7 +136,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     if at < len(page):
         add(page[at:])
     flush()
-    marked = next((k for k in ("article", "main") if any(where == k for _, where, _ in raw)), None)
+    chars = Counter()
+    for text, where, _ in raw:
+        chars[where] += len(text)
+    # an article with the smaller share of the text is a teaser: then all text is undecided
+    teaser = 2 * chars["article"] <= chars["article"] + chars["main"] + chars["body"]
+    marked = ("main" if chars["main"] else None) if not chars["article"] else None if teaser else "article"
 
     def zone(where: str, links: float) -> int:
         if where == "furniture" or where == "header" and not marked:

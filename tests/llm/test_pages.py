@@ -61,6 +61,13 @@ def test_very_long_and_deep_pages():
     assert kept('<a href="x' * 20_000) is not None  # in linear time
 
 
+def test_a_teaser_article_does_not_mark_the_page():
+    text = "The main text of this page stands beside its teaser card"
+    for page in (f"<main><p>{text}</p><section><article>Related</article></section></main>", f"<div><p>{text}</p></div><article>Related</article>"):
+        assert B.blocks(page) == [(text, B.NEUTRAL), ("Related", B.NEUTRAL)]
+    assert B.blocks(f"<p>beside<article><p>{text}</article>") == [("beside", B.BESIDE), (text, B.ARTICLE)]
+
+
 def pages_of(n, host, notice="Subscribe to our weekly letter and never miss a story again"):
     menu = "".join(f"<li>{w}" for w in ("Home", "World news", "Politics", "Economy and markets", "Sports"))
     return [(f"https://{host}/{i}", f"<ul>{menu}</ul><p>Story number {i} of {host} tells what has happened there</p><p>Short {i}</p><p>{notice}</p>") for i in range(n)]
