@@ -66,10 +66,11 @@ def digest(df: DataFrame, kinds: list[str], keep: list[str], name: str = "spans"
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
+    """The text with every span replaced by its kind in angle brackets; of a span that begins inside another one the part beyond it counts."""
+    start = lambda acc, s: F.greatest(s["start"], acc["at"])
     parts = F.aggregate(
         spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"),
+        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, start(acc, s) - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"),
             s["end"].alias("at"))))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(parts["out"], F.substring(text, parts["at"] + 1, F.char_length(text))))
