@@ -10,6 +10,7 @@ import __spark_entry__ as entry_point
 import corpus_pipeline as C
 from assayframe.llm import bpe_tokens, pii_crf, poisson_mix
 from assayframe.llm.queries import ORACLES, QUERIES, RANKS
+from assayframe.llm.spans import masked
 from test_poisson_mix import inverted, uniform
 from test_simhash_links import plain_components, plain_fingerprint
 
@@ -86,6 +87,27 @@ def test_clean_documents_stay_as_they_are(spark):
     assert pii_crf.find([r["text"] for r in clean], pii_crf.trained()) == [[]] * len(clean)
 
 
+def test_rows_with_one_id_are_judged_by_their_own_texts(spark):
+    tail = (None, None, None, *EXTRA)
+    first, second, third = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black grey")
+    rows = [(1, first, *tail), (5, first, *tail), (5, second, *tail), (5, second, *tail), (7, second, *tail), (8, third, *tail), (8, first.upper() + " zeta", *tail)]
+    found = [(r["doc_id"], r["text"]) for r in C.near_copy_stage(spark, frame(spark, rows).repartition(3), SF).collect()]
+    # the first text of id 5 is a copy of id 1, its second one the smallest of its own group
+    assert sorted(found) == [(1, first), (5, second), (8, first.upper() + " zeta"), (8, third)]
+
+
+def test_short_texts_of_unsure_language_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert [r["doc_id"] for r in C.language_stage(spark, docs, SF).where("doc_id = 4616").collect()] == [4616]
+
+
+def test_overlapping_personal_data_is_masked_to_its_end(spark):
+    text = "4111 1111 1111 1111.jane.doe@example.com and on"
+    spans = [("card", 0, 19, True), ("phone", 5, 9, True), ("email", 15, 40, True)]
+    df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    assert df.select(masked(df.text, df.spans)).first()[0] == "<card><email> and on"
+
+
 def test_run(spark):
     found = entry_point.queries()["pipeline"](spark, SF)
     assert found.columns == ["doc_id", "lang", "source", "n_chars", "ids"] and found.count() > 100
