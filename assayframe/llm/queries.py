@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayframe.llm import bpe_tokens, credential_links, exact_topk, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members
+from assayframe.llm import (
+    bpe_tokens, credential_links, exact_topk, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members, word_runs,
+)
 from assayframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,31 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_tokens.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
     return bpe_tokens.digests(encoded, RANKS, public_tokenizers.PATTERN, ["doc_id"])
+
+
+# CRC-32 of short ASCII text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length({text}) AS BIGINT) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query("op11_word_runs", "WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, " + _CRC.format(text="CAST(doc_id AS VARCHAR)") + """ AS h FROM documents),
+n AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM c),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM n),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+t AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS w FROM d),
+s AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o) AS six, lead(w, 5) OVER o IS NOT NULL AS whole
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT y.doc_id, y.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i AND x.whole AND y.whole),
+e AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m),
+f AS (SELECT doc_id, q, min(i) - q AS start, count(*) + 5 + q AS length FROM e GROUP BY doc_id, q, g HAVING count(*) + 5 >= q AND count(*) + 5 + q >= 12),
+r AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.q < f.q AND o.start <= f.start AND o.start + o.length >= f.start + f.length)),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+    first(struct_pack(start := start, length := length, q := q) ORDER BY length DESC, start, q) AS best FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.start + r.q AND t.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * best.length // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = word_runs.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return word_runs.digest(word_runs.periodic_runs(docs, keep=["doc_id"]), ["doc_id"])
