@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.llm import (
-    bpe_tokens, credential_links, exact_topk, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits, simhash_links, spans, warc_members, word_runs,
+    bpe_tokens, credential_links, exact_topk, importance_resampling, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits,
+    simhash_links, spans, warc_members, word_runs,
 )
 from assayframe.llm.common import table
 
@@ -139,3 +140,36 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = word_runs.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return word_runs.digest(word_runs.periodic_runs(docs, keep=["doc_id"]), ["doc_id"])
+
+
+def _nibble(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+# CRC-32 of UTF-8 text, by half bytes, the lower one first.
+_CRC_BY_NIBBLES = f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({{text}})) * 2),
+  lambda i: CAST(strpos('0123456789ABCDEF', substr(hex(encode({{text}})), CAST(xor(i, 1) AS BIGINT) + 1, 1)) - 1 AS BIGINT))),
+  lambda c, b: xor(c >> 4, {[_nibble(i) for i in range(16)]}[CAST(xor(c, b) & 15 AS INTEGER) + 1])))"""
+
+_FEATURES = """{name}w AS (SELECT {id}regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}),
+{name}f AS (SELECT {id}len(w) AS words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])),
+  list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) AS f FROM {name}w)"""
+
+
+@query("op12_importance_resampling", "WITH " + _FEATURES.format(name="d", id="doc_id, ", table="documents") + ",\n" + _FEATURES.format(name="b", id="", table="benchmark") + """,
+h AS (SELECT f, """ + _CRC_BY_NIBBLES.format(text="f") + """ % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN h USING (f) GROUP BY bucket),
+z AS (SELECT (SELECT count(*) FROM df) + 10000.0::DOUBLE AS s, (SELECT count(*) FROM bf) + 10000.0::DOUBLE AS t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * z.s / ((coalesce(s.n, 0) + 1)::DOUBLE * z.t))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM h) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), z),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+c AS (SELECT doc_id, len(dw.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    (CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM dw LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM c),
+k AS (SELECT *, row_number() OVER (ORDER BY words >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (words >= 20) OVER () AS able FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM k""")
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
