@@ -39,11 +39,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again, so that later jobs read only the columns they need."""
     path = scratch_folder(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
