@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.llm import (
-    bpe_tokens, credential_links, exact_topk, importance_resampling, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits,
+    attention_scores, bpe_tokens, credential_links, exact_topk, importance_resampling, language_entropy, page_boilerplate, pii_crf, poisson_mix, rotated_bits,
     simhash_links, spans, warc_members, word_runs,
 )
 from assayframe.llm.common import table
@@ -173,3 +173,8 @@ k AS (SELECT *, row_number() OVER (ORDER BY words >= 20 DESC, score DESC, doc_id
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM k""")
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@query("op13_attention_scores")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_scores.score_texts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
