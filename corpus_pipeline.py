@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayframe.llm import bpe_tokens, jaccard_links, language_entropy, pii_crf, poisson_mix, spans
+from assayframe.llm import bpe_tokens, language_entropy, pii_crf, poisson_mix, simhash_links, spans
 from assayframe.llm.common import joined_by_size, lookup, settled, table
 from assayframe.llm.queries import RANKS
 
@@ -37,33 +37,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return unpacked(kept.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Packed rows with ``row``, which is equal for equal rows only."""
-    whole = [F.col(f"`{c}`").cast("string") if c == EXTRA else F.col(c) for c in rows.columns]
-    return rows.withColumn("row", F.xxhash64(*[x for c in whole for x in (c.isNull(), c)]))
-
-
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of every group of near copies (shingles of five words, Jaccard similarity of 0.8 or more).
+    """Keeps one row of every group of near copies by SimHash (three-word shingles, three bits), that with the smallest id.
 
-    Rows count by themselves, not by their ids: of rows with one id and different texts each is judged by its own text.
-    Rows without an id stay.
+    Rows count by themselves, not by their ids: of rows with one id and different texts each is judged by its own text, of
+    equal rows one stays. Rows without an id stay. The numbers of the rows are written with them, so that they hold for all
+    later reads.
     """
-    rows = numbered(packed(docs))
-    printed = settled(jaccard_links.prints(rows), "near-copies")
-    roots = settled(jaccard_links.set_components(rows, printed), "near-copies")
-    found = settled(joined_by_size(printed.drop("keys"), roots, ["sid"]).select("doc_id", "row", F.coalesce("root", "sid").alias("root")), "near-copies")
+    rows = settled(packed(docs).withColumn("row", F.monotonically_increasing_id()), "near-copies")
+    groups = simhash_links.near_copies(rows.select("row", "text"), doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    members = settled(groups.join(rows.where("doc_id is not null").select("row", "doc_id"), "row"), "near-copies")
     first = F.struct("doc_id", "row")
-    with_id = found.where("doc_id is not null")
-    groups = settled(with_id.groupBy("root").agg(F.min(first).alias("kept"), F.count("*").alias("n")).where("n > 1"), "near-copies")
-    gone = settled(lookup(with_id, groups, "root", "inner").where(first != F.col("kept")).select("row").distinct().withColumn("gone", F.lit(True)), "near-copies")
-    repeated = settled(with_id.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1"), "near-copies")
-    kept = joined_by_size(rows, gone, ["row"]).where("gone is null").drop("gone")
-    if repeated.take(1):
-        marked = joined_by_size(kept, repeated, ["row"])
-        again = marked.where("rows is not null").groupBy("row").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in kept.columns])).alias("one")).select("one.*")
-        kept = marked.where("rows is null").select(*[F.col(f"`{c}`") for c in kept.columns]).unionByName(again)
-    return unpacked(kept, docs.columns)
+    kept = settled(members.groupBy("group").agg(F.min(first).alias("kept"), F.count("*").alias("n")).where("n > 1"), "near-copies")
+    gone = settled(lookup(members, kept, "group", "inner").where(first != F.col("kept")).select("row"), "near-copies")
+    return unpacked(joined_by_size(rows, gone, ["row"], "left_anti"), docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
