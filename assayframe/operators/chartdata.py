@@ -11,7 +11,7 @@ from assayframe.operators.kinds import Kind
 from assayframe.operators.outliers import IQR_FACTOR
 from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group
-from assayframe.plans.quantiles import exact_quantiles
+from assayframe.plans.quantiles import exact_quantiles, grouped_medians
 from assayframe.plans.wide import long_aggregate, small_frame
 
 # Chart sizes.
@@ -120,7 +120,7 @@ def grouped_box(table: Facts | DataFrame, number: str, label: str, top: int = BO
         return empty
     entries = [({"label": v}, {"n": F.count(view), "low": F.min(view), "high": F.max(view)}) for v, view in views.items()]
     counts = {r["label"]: (r["n"], r["low"], r["high"]) for r in long_aggregate(facts.cells, entries).collect()}
-    found = exact_quantiles(facts.cells, views, [0.25, 0.5, 0.75], counts, facts.task_limit)
+    found = exact_quantiles(facts.cells, views, [0.25, 0.5, 0.75], counts)
     boxes = [({"label": v}, views[v], q[0.25], q[0.5], q[0.75]) for v, q in found.items() if q]
     return _box_rows(facts.cells, boxes) if boxes else empty
 
@@ -172,18 +172,21 @@ def daily_counts(table: Facts | DataFrame, date: str) -> DataFrame:
     )
 
 
-def value_over_time(table: Facts | DataFrame, date: str, value: str, how: str = "mean") -> DataFrame:
-    """``(period, value)`` per day, or per year for short tables; empty periods are NULL.
+def value_over_time(table: Facts | DataFrame, date: str, value: str, how: str = "mean", daily_above: int = DAILY_ABOVE) -> DataFrame:
+    """``(period, value)`` per day, or per year for tables of at most ``daily_above`` rows; empty periods are NULL.
 
     ``how`` is one of mean, sum, min, max, count and median.
     """
     facts = Facts.of(table)
     stamp, x = facts.timestamp(date), facts.number(value)
     rows = facts.cells.select(stamp.alias("t"), x.alias("x")).where(F.col("t").isNotNull() & F.col("x").isNotNull())
-    daily = rows.limit(DAILY_ABOVE + 1).count() > DAILY_ABOVE
-    period = F.to_date("t") if daily else F.to_date(F.date_trunc("year", "t"))
-    aggregate = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "median": F.median}[how]("x")
-    grouped = rows.groupBy(period.alias("period")).agg(aggregate.alias("value"))
+    daily = rows.limit(daily_above + 1).count() > daily_above
+    period = (F.to_date("t") if daily else F.to_date(F.date_trunc("year", "t"))).alias("period")
+    if how == "median":
+        grouped = grouped_medians(rows.select(period, F.col("x").alias("value")), "period", "value")
+    else:
+        aggregate = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[how]("x")
+        grouped = rows.groupBy(period).agg(aggregate.alias("value"))
     return _spine(grouped, "interval 1 day" if daily else "interval 1 year").join(grouped, "period", "left").select("period", "value")
 
 

@@ -16,7 +16,7 @@ from assayframe.functions.coerce import as_boolean, as_number, as_text, as_times
 from assayframe.operators.kinds import Kind, detect_kinds
 from assayframe.plans.duplicates import comparable, fresh, without_nan
 from assayframe.plans.frequency import value_counts
-from assayframe.plans.quantiles import TASK_LIMIT, exact_quantiles
+from assayframe.plans.quantiles import exact_quantiles
 from assayframe.plans.wide import long_aggregate, small_frame
 
 
@@ -40,12 +40,10 @@ class Facts:
         df: DataFrame,
         kinds: dict[str, Kind] | None = None,
         order_by: str | None = None,
-        task_limit: int = TASK_LIMIT,
     ):
         self.native = without_nan(df)  # what cleaning returns: every column as it came
         self.table = comparable(df)
         self.order_by = order_by
-        self.task_limit = task_limit
         self.columns = [c for c in df.columns if c != order_by]
         self._kinds = kinds
         self._quantiles: dict[str, dict[float, float]] = {}
@@ -194,7 +192,7 @@ class Facts:
         if need:
             counts = {c: (self.summary[c]["numbers"], self.summary[c]["low"], self.summary[c]["high"]) for c in need}
             views = {c: self.number(c) for c in need}
-            fresh = exact_quantiles(self.df, views, probabilities, counts, self.task_limit)
+            fresh = exact_quantiles(self.df, views, probabilities, counts)
             for c in need:
                 self._quantiles.setdefault(c, {}).update(fresh[c])
         return {c: self._quantiles.get(c, {}) for c in columns}

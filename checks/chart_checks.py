@@ -95,6 +95,18 @@ def _(spark, sf):
     return round_all(chartdata.value_over_time(dirty_orders(spark, sf), "date_txt", "total"))
 
 
+HOT_DAY = "CASE WHEN o_orderkey % 3 = 0 THEN DATE '1996-02-29' ELSE CAST(o_orderdate AS DATE) END"
+
+
+@check("value_median_hot_day", f"""WITH t AS (SELECT {HOT_DAY} AS day, o_totalprice AS x FROM orders),
+spine AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM t),
+m AS (SELECT day, quantile_cont(x, 0.5) AS m FROM t GROUP BY 1)
+SELECT s.day AS period, {r("m")} AS "value" FROM spine s LEFT JOIN m ON m.day = s.day""")
+def _(spark, sf):
+    orders = read(spark, sf, "orders").selectExpr(f"{HOT_DAY} AS day", "o_totalprice AS price")
+    return round_all(chartdata.value_over_time(orders, "day", "price", how="median"))
+
+
 @check("ols_trend", f"""WITH {PRICED} SELECT l_returnflag AS color, count(*) AS n, {r('regr_slope(net, gross)')} AS slope, {r('regr_intercept(net, gross)', 4)} AS intercept,
   {r('regr_r2(net, gross)')} AS r2 FROM priced WHERE net IS NOT NULL AND gross IS NOT NULL GROUP BY 1""")
 def _(spark, sf):

@@ -119,7 +119,7 @@ def test_time_series_fills_periods(spark):
 
 def test_grouped_box_matches_pandas(spark):
     pdf = frame()
-    got = {r["label"]: r for r in chartdata.grouped_box(Facts(spark.createDataFrame(pdf), task_limit=50), "z", "d").collect()}
+    got = {r["label"]: r for r in chartdata.grouped_box(Facts(spark.createDataFrame(pdf)), "z", "d").collect()}
     for label, s in pdf.groupby("d")["z"]:
         assert got[label]["median"] == pytest.approx(s.median()) and got[label]["q3"] == pytest.approx(s.quantile(0.75))
 

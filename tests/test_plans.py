@@ -8,12 +8,14 @@ from assayframe.operators.duplicates import drop_duplicates, duplicate_summary
 from assayframe.plans.carry import directional_fill
 from assayframe.plans.duplicates import duplicate_groups
 from assayframe.plans.frequency import top_per_group, value_counts
+from assayframe.plans import quantiles as Q
+from assayframe.plans.ordering import numbered
 from assayframe.plans.quantiles import exact_quantiles
 from conftest import rows
 
 
-@pytest.mark.parametrize("shape", ["spread", "ties", "hot", "two", "far"])
-def test_bracketed_quantiles_equal_numpy(spark, shape):
+@pytest.mark.parametrize("shape", ["spread", "ties", "hot", "two", "far", "near", "signs"])
+def test_quantiles_equal_numpy(spark, shape):
     rng = np.random.default_rng(5)
     n = 30_000
     x = {
@@ -21,15 +23,48 @@ def test_bracketed_quantiles_equal_numpy(spark, shape):
         "ties": rng.integers(0, 50, n).astype(float),
         "hot": np.where(rng.random(n) < 0.34, 7.0, rng.exponential(3, n)),
         "two": (np.arange(n) % 2).astype(float),
+        "near": 1 + rng.integers(0, 9000, n) * 2.0**-52,
+        "signs": rng.choice([-0.0, 0.0, -1e-310, 1e-310, -2.5, 2.5], n),
         "far": np.concatenate([rng.normal(0, 1, n - 3), [1e12, -1e15, 1e300]]),
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(7)
     ps = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, {"x": F.col("x")}, ps, {"x": (n, float(x.min()), float(x.max()))}, limit=200)["x"]
-    whole = exact_quantiles(df, {"x": F.col("x")}, ps, {"x": (n, float(x.min()), float(x.max()))})["x"]
+    counts = {"x": (n, float(x.min()), float(x.max())), "half": (n // 2, 0.0, float(n // 2 - 1))}
+    got = exact_quantiles(df, {"x": F.col("x"), "half": F.when(F.lit(False), 0.0)}, ps, counts | {"half": (0, None, None)})
+    assert got["half"] == {}
     for p in ps:
-        assert got[p] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
-        assert whole[p] == pytest.approx(got[p], rel=1e-12, abs=1e-12)
+        assert got["x"][p] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
+
+
+def test_counts_of_digits_are_handed_on_when_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 40)
+    x = np.random.default_rng(9).normal(0, 1, 5000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    got = exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5], {"x": (5000, float(x.min()), float(x.max()))})["x"]
+    assert got == pytest.approx({p: np.quantile(x, p) for p in (0.25, 0.5)})
+
+
+def test_order_of_bits():
+    x = np.array([-np.inf, -1e300, -1.5, -5e-324, 0.0, 5e-324, 1.0, np.inf])
+    bits = Q.ordered_bits(x)
+    assert (np.diff(bits) > 0).all() and [Q.number_of(int(b)) for b in bits] == x.tolist()
+    assert Q.ordered_bits(np.array([-0.0]))[0] == Q.ordered_bits(np.array([0.0]))[0]
+
+
+def test_medians_of_groups_with_one_hot_group(spark):
+    rnd = random.Random(4)
+    data = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice([None, 1.0, rnd.random()])) for _ in range(4000)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(6)
+    want = {g: float(np.median(v)) for g in {g for g, _ in data} if (v := [x for k, x in data if k == g and x is not None])}
+    assert {r["g"]: r["x"] for r in Q.grouped_medians(df, "g", "x").collect()} == pytest.approx(want)
+
+
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([(i % 5, "k") for i in range(500)], "a int, k string").repartition(4)
+    found = numbered(df, [F.desc("a")], "place").collect()
+    assert sorted(r["place"] for r in found) == list(range(1, 501))
+    assert all(100 * (4 - r["a"]) < r["place"] <= 100 * (5 - r["a"]) for r in found)
+    assert numbered(df.limit(0), [F.asc("a")]).collect() == []
 
 
 def brute_fill(data, keys, backward):
