@@ -1,25 +1,28 @@
 """Merging near-duplicate labels.
 
-Labels are taken in order of (length, text); each joins the first earlier
-representative it resembles, or becomes a representative itself. The work is on
-distinct labels, so hot labels cost nothing extra, and it goes in blocks: the
-first open labels of a column, a fixed number of them, are settled in order in
-one task; all other open labels are then compared with the new representatives
-where they are, and those that match leave. A label only ever meets
-representatives, so no group of similar labels is paired off with itself.
-
-Which representatives a label is compared with comes from segments (Li, Deng,
-Wang and Feng, PVLDB 2011): if at most k characters are inserted or deleted, one
-of k + 1 segments of the shorter label is left intact and appears in the longer
-one at nearly the same place.
+Labels are taken in order of (length, text); each joins the first earlier representative it resembles, or becomes a
+representative itself. The work is on distinct labels, so hot labels cost nothing extra, and gives what taking them one by
+one would give, in rounds of joins:
+
+1. The first open labels of each column make a block. Its similar pairs are found through keys and verified once.
+2. Over these pairs the rule is applied in parallel: labels that no earlier open label resembles are representatives, labels
+   that resemble one of them are covered, and the pairs of covered labels go. This ends after as many steps as the longest
+   chain of labels that wait for one another.
+3. The other open labels are compared with the block's representatives only, where they are; those that match leave.
+
+A block grows fourfold as long as its keys promise at most ``PAIRS`` pairs, which are counted before any is made. So labels
+that resemble few others are done in a few rounds however many there are, and a crowd of similar labels is never paired off
+with itself: a small block of it yields representatives for the rest.
+
+Which labels are compared comes from segments (Li, Deng, Wang and Feng, PVLDB 2011): if at most k characters are inserted or
+deleted, one of k + 1 segments of the shorter label is left intact and appears in the longer one at nearly the same place.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayframe.functions.similarity import lcs_ratio, ratio_function
+from assayframe.functions.similarity import lcs_ratio
 from assayframe.plans.durable import durable
 from assayframe.plans.frequency import top_per_group
 from assayframe.plans.wide import union_all
@@ -27,8 +30,14 @@ from assayframe.plans.wide import union_all
 # Fixed value: default similarity from which labels are merged.
 THRESHOLD = 88
 
-# Labels of one column settled in order by one task.
+# Labels of one column in the first block, and candidate pairs of a larger block.
 BLOCK = 1000
+PAIRS = 4_000_000
+
+# Representatives whose keys are broadcast, at most.
+BROADCAST_LABELS = 5000
+
+KEY = ["column", "len_a", "seg", "piece"]
 
 MAP_SCHEMA = "column string, label string, canonical string"
 
@@ -110,57 +119,76 @@ def _probe_keys(labels: DataFrame, t: int) -> DataFrame:
     return sized.where("deleted >= 0").select("column", F.col("label").alias("later"), "len_a", F.inline(keys))
 
 
-def _settle_block(head: DataFrame, threshold: int) -> DataFrame:
-    """``(column, label, canonical)`` for one block of labels, a bounded group per column."""
-    ratio = ratio_function()
+def _order(label: str) -> Column:
+    return F.struct(F.length(label), F.col(label))
+
+
+def _candidate_count(labels: DataFrame, threshold: int) -> int:
+    """How many pairs the keys of the labels make; nothing is paired for it."""
+    index = _index_keys(labels, threshold).groupBy(*KEY).agg(F.count("*").alias("a"))
+    probe = _probe_keys(labels, threshold).groupBy(*KEY).agg(F.count("*").alias("b"))
+    return index.join(probe, KEY).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
 
-    def settle(block: pd.DataFrame) -> pd.DataFrame:
-        chosen: list = []
-        canonical = []
-        ordered = sorted(block["label"], key=lambda label: (len(label), label))
-        for label in ordered:
-            match = next((rep for rep in chosen if ratio(rep, label) >= threshold), None)
-            if match is None:
-                chosen.append(label)
-            canonical.append(label if match is None else match)
-        return pd.DataFrame({"column": block["column"].iloc[0], "label": ordered, "canonical": canonical})
 
-    return head.groupBy("column").applyInPandas(settle, MAP_SCHEMA)
+def _similar_pairs(labels: DataFrame, threshold: int) -> DataFrame:
+    """``(column, earlier, later)`` of all pairs of a block that reach the threshold."""
+    pairs = _probe_keys(labels, threshold).join(_index_keys(labels, threshold), KEY).where(_order("earlier") < _order("later"))
+    return pairs.select("column", "earlier", "later").distinct().where(lcs_ratio(F.col("earlier"), F.col("later")) >= threshold)
+
+
+def _settle_block(labels: DataFrame, threshold: int) -> DataFrame:
+    """``(column, label, canonical)`` of a block; a representative is its own."""
+    pairs = durable(_similar_pairs(labels, threshold))
+    covered, live = [], pairs
+    while not live.isEmpty():
+        waiting = live.select("column", F.col("later").alias("earlier")).distinct()
+        first = live.join(waiting, ["column", "earlier"], "left_anti")
+        now = durable(first.select("column", F.col("later").alias("label")).distinct())
+        covered.append(now)
+        free = live.join(now.withColumnRenamed("label", "later"), ["column", "later"], "left_anti")
+        free = free.join(now.withColumnRenamed("label", "earlier"), ["column", "earlier"], "left_anti")
+        live = durable(free.join(first.select("column", "earlier").distinct(), ["column", "earlier"], "left_anti"))
+    if not covered:
+        return labels.select("column", "label", F.col("label").alias("canonical"))
+    gone = union_all(covered)
+    chosen = labels.select("column", "label").join(gone, ["column", "label"], "left_anti")
+    joined = pairs.join(chosen.withColumnRenamed("label", "earlier"), ["column", "earlier"]).groupBy("column", F.col("later").alias("label")).agg(
+        F.min_by("earlier", _order("earlier")).alias("canonical"))
+    return chosen.withColumn("canonical", F.col("label")).unionByName(joined)
 
 
 def _nearest(representatives: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """The first representative each label resembles, if any."""
-    # At most one block of representatives per column: bounded.
-    index = F.broadcast(_index_keys(representatives, threshold))
-    candidates = (
-        _probe_keys(labels, threshold).join(index, ["column", "len_a", "seg", "piece"])
-        .groupBy("column", "later").agg(F.collect_set("earlier").alias("earlier"))
-        .select("column", "later", F.explode("earlier").alias("earlier"))
-    )
+    index = _index_keys(representatives, threshold)
+    few = len(representatives.limit(BROADCAST_LABELS + 1).take(BROADCAST_LABELS + 1)) <= BROADCAST_LABELS
+    candidates = _probe_keys(labels, threshold).join(F.broadcast(index) if few else index, KEY).select("column", "later", "earlier").distinct()
     return (
         candidates.where(lcs_ratio(F.col("earlier"), F.col("later")) >= threshold)
         .groupBy("column", F.col("later").alias("label"))
-        .agg(F.min_by("earlier", F.struct(F.length("earlier"), F.col("earlier"))).alias("canonical"))
+        .agg(F.min_by("earlier", _order("earlier")).alias("canonical"))
     )
 
 
 def label_map(labels: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``(column, label, canonical)`` for every label that joins another one.
 
-    ``labels`` holds distinct ``(column, label)`` rows. Each round settles a
-    block of every column, so the loop ends.
+    ``labels`` holds distinct ``(column, label)`` rows. Each round settles a block of every column, so the loop ends.
     """
     open_labels = durable(labels)
-    found = []
+    found, size = [], block
+    order = [F.length("label").asc(), F.asc("label")]
     while True:
-        order = [F.length("label").asc(), F.asc("label")]
-        head = top_per_group(open_labels, ["column"], order, block, rank="_place").drop("_place")
+        head = durable(top_per_group(open_labels, ["column"], order, size, rank="_place").drop("_place"))
+        if size > block and _candidate_count(head, threshold) > PAIRS:
+            size = max(block, size // 4)
+            continue
         settled = durable(_settle_block(head, threshold))
         found.append(settled.where("label <> canonical"))
-        rest = open_labels.join(F.broadcast(settled.select("column", "label")), ["column", "label"], "left_anti")
+        rest = durable(open_labels.join(head, ["column", "label"], "left_anti"))
         if rest.isEmpty():
             return union_all(found)
         representatives = settled.where("label = canonical").select("column", "label")
         joined = durable(_nearest(representatives, rest, threshold))
         found.append(joined.select("column", "label", "canonical"))
         open_labels = durable(rest.join(joined.select("column", "label"), ["column", "label"], "left_anti"))
+        size *= 4

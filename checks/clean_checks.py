@@ -83,9 +83,24 @@ def _(spark, sf):
     return merged.groupBy("priority_txt").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("fuzzy_merge_customers")
+# Labels one by one in order of length and text; a bit vector holds a row of the longest-common-subsequence programme.
+@check("fuzzy_merge_customers", f"""WITH RECURSIVE names AS (SELECT DISTINCT lower({stripped('c_name')}) AS l FROM customer WHERE c_name IS NOT NULL),
+labels AS MATERIALIZED (SELECT l, row_number() OVER (ORDER BY length(l), l) AS i, map_from_entries(list_transform(list_distinct(string_split(l, '')),
+    lambda c: (c, list_sum(list_transform(range(1, length(l) + 1), lambda j: CASE WHEN l[j] = c THEN 1::BIGINT << (j - 1)::INTEGER ELSE 0::BIGINT END))::BIGINT))) AS places FROM names),
+pairs AS (SELECT a.i AS a, b.i AS b, length(a.l) AS m, length(b.l) AS n, list_reduce(list_prepend((1::BIGINT << length(a.l)::INTEGER) - 1,
+    list_transform(string_split(b.l, ''), lambda c: coalesce(a.places[c], 0))),
+    lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & ((1::BIGINT << length(a.l)::INTEGER) - 1)) AS rest
+  FROM labels a JOIN labels b ON a.i < b.i AND 200.0 * length(a.l) >= 88 * (length(a.l) + length(b.l))),
+near AS MATERIALIZED (SELECT b, list(a ORDER BY a) AS earlier FROM pairs WHERE 200.0 * (m - bit_count(rest)) / (m + n) >= 88 GROUP BY b),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS chosen
+  UNION ALL SELECT w.i + 1, CASE WHEN list_has_any(coalesce(e.earlier, []), w.chosen) THEN w.chosen ELSE list_append(w.chosen, w.i + 1) END
+  FROM walk w JOIN labels t ON t.i = w.i + 1 LEFT JOIN near e ON e.b = w.i + 1),
+done AS (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1),
+merged AS (SELECT l AS label, coalesce((SELECT o.l FROM labels o WHERE o.i = list_min(list_intersect(e.earlier, d.chosen))), t.l) AS canonical
+  FROM labels t LEFT JOIN near e ON e.b = t.i CROSS JOIN done d)
+SELECT canonical AS c_name, count(*) AS n FROM customer JOIN merged ON label = lower({stripped('c_name')}) GROUP BY 1""")
 def _(spark, sf):
-    merged = clean.standardise_labels(read(spark, sf, "customer"), ["c_name"], threshold=95)
+    merged = clean.standardise_labels(read(spark, sf, "customer"), ["c_name"])
     return merged.groupBy("c_name").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from assayframe.functions.similarity import ratio_function
-from assayframe.operators import clean
+from assayframe.operators import clean, fuzzy
 from assayframe.operators.fuzzy import label_map
 from assayframe.plans.facts import Facts
 from conftest import rows
@@ -56,6 +56,20 @@ def test_label_map_equals_sequential_greedy(spark, threshold, block):
     assert {r["label"]: r["canonical"] for r in label_map(df, threshold, block).collect()} == greedy(labels, threshold)
 
 
+def test_unlike_labels_take_few_rounds_and_a_crowd_stays_in_small_blocks(spark, monkeypatch):
+    sizes, settle = [], fuzzy._settle_block
+    monkeypatch.setattr(fuzzy, "_settle_block", lambda head, t: sizes.append(head.count()) or settle(head, t))
+    rnd = random.Random(3)
+    unlike = {"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300)}
+    df = spark.createDataFrame([("c", label) for label in unlike], "column string, label string")
+    assert {r["label"]: r["canonical"] for r in label_map(df, 88, 10).collect()} == greedy(unlike, 88)
+    assert len(sizes) <= 5
+    monkeypatch.setattr(fuzzy, "PAIRS", 300)
+    crowd = {f"one very long label with the number {i:03}" for i in range(150)}
+    df = spark.createDataFrame([("c", label) for label in crowd], "column string, label string")
+    assert {r["label"]: r["canonical"] for r in label_map(df, 95, 10).collect()} == greedy(crowd, 95)
+
+
 def test_standardise_keeps_nulls_and_rows(spark):
     df = spark.createDataFrame([(" Premium",), ("premum",), ("PREMIUM ",), (None,), ("Other",)], "s string")
     assert sorted(rows(clean.standardise_labels(df, ["s"])), key=repr) == sorted([("premum",)] * 3 + [(None,), ("other",)], key=repr)
