@@ -20,6 +20,7 @@ from assayframe.operators.fuzzy import THRESHOLD, label_map
 from assayframe.operators.kinds import Kind, detect_kinds
 from assayframe.operators.outliers import IQR_FACTOR, MIN_CELLS, Z_THRESHOLD, outlier_tests
 from assayframe.plans.carry import directional_fill
+from assayframe.plans.durable import written
 from assayframe.plans.duplicates import comparable, fresh, without_nan
 from assayframe.plans.durable import durable
 from assayframe.plans.facts import Facts
@@ -289,7 +290,8 @@ class CleaningRun:
         o = self.options
         if not o.drop_duplicates:
             return
-        kept = drop_duplicates(self.source, o.dedup_subset or self.columns, self.order_by)
+        # written once, so that the steps that look at the kept rows do not remove duplicates again
+        kept = written(drop_duplicates(self.source, o.dedup_subset or self.columns, self.order_by), "cleaning")
         self._marked = kept.withColumn(self._gone, F.lit(False))
         self._lines.append(_LogLine("duplicate-removal", ", ".join(o.dedup_subset or ["all"]), "Removed %d duplicate rows", "dedup"))
 

@@ -136,7 +136,7 @@ def exact_quantiles(df: DataFrame, views: dict[str, Column], probabilities: list
             position = p * (counts[name][0] - 1)
             rank = math.floor(position)
             low, high = found[column, rank], found[column, min(rank + 1, counts[name][0] - 1)]
-            result[name][p] = low if position == rank or low == high else low + (high - low) * (position - rank)
+            result[name][p] = low if position == rank or low == high else (rank + 1 - position) * low + (position - rank) * high
     return result
 
 

@@ -1,4 +1,6 @@
+import datetime as dt
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -96,6 +98,32 @@ def test_fill_over_many_partitions(spark, keys, backward):
     assert got == brute_fill(data, keys, backward)
 
 
+def test_several_columns_of_any_type_are_filled_with_one_exchange(spark):
+    rnd = random.Random(6)
+    pick = lambda *values: rnd.choice([None, None, *values])
+    data = [
+        (i, rnd.choice([1.5, None, float("nan")]), pick("a", ""), pick([1, None], []), pick((1, "x")), pick({"k": 1}), pick(Decimal("1.25")),
+         pick(dt.datetime(2024, 1, 2, 3)), pick(dt.date(2024, 1, 2)), pick(True, False)) for i in range(400)]
+    schema = "`row.id` int, k double, s string, a array<int>, `t.u` struct<x:int,y:string>, m map<string,int>, d decimal(9,2), ts timestamp, day date, b boolean"
+    df = spark.createDataFrame(data, schema).repartition(5)
+    columns = df.columns[2:]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        filled = directional_fill(df, columns, "row.id", ["k"])
+        found = {r[0]: r for r in filled.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert filled.schema == df.schema and "Exchange" not in filled._jdf.queryExecution().toString()
+    last = {}
+    for row in data:
+        key = repr(row[1])
+        known = last.setdefault(key, [None] * 8)
+        known[:] = [new if new is not None else old for new, old in zip(row[2:], known)]
+        got = found[row[0]]
+        assert [tuple(x) if isinstance(x, tuple) else x for x in got[2:]] == known
+    assert directional_fill(df.limit(0), columns, "row.id").collect() == []
+
+
 def test_duplicates_treat_null_nan_and_zero_signs_as_equal(spark):
     data = [(None, 1.0), (None, 1.0), ("a", float("nan")), ("a", None), ("b", 0.0), ("b", -0.0), ("c", 1.0), (None, None)]
     df = spark.createDataFrame(data, "s string, x double")
