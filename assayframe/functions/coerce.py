@@ -6,6 +6,8 @@ never raises, so the expressions are safe under ANSI mode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 # Tokens read as booleans, in natural order.
@@ -30,21 +32,21 @@ NUMBER_PATTERN = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 EMAIL_PATTERN = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE_PATTERN = r"^\+?\d[\d\s().-]{6,}$"
 
-# ISO dates with an optional time of day; slashed, dotted and compact dates are rewritten to ISO first.
+# Notations of dates. Each is rewritten to an ISO date with what follows it, and that is read.
 ISO_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 TWELVE_HOURS = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
-SHORTEST_DATE = 8  # 2024-1-5
-SLASH_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})"
-SLASH_YEAR_LAST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-DOTTED_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})"
-COMPACT = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
-NAMED_MONTH_FORMATS = {
-    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$": "d MMM yyyy",
-    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": "d MMM yy",
-    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
-    r"^\d{1,2}[ -][A-Za-z]{4,9}[ -]\d{4}$": "d MMMM yyyy",
-    r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$": "MMMM d, yyyy",
-}
+DATE_LENGTHS = (6, 40)  # 1/5/99; a weekday, a month in full and a time of day
+DATE_HINT = r"\d{4}|\d[/.]\d{2}(?!\d)|[A-Za-z]{3}[ -]\d{2}(?!\d)"
+YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)"
+YEAR_AND_MONTH = r"^\d{4}[-/]\d{1,2}$"
+YEAR_LAST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|(?<=/)\d{2})(?!\d)"  # day and month in the order of the column
+DOTTED_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|(?<=\d\d\.\d\d\.)\d{2})(?!\d)"
+COMPACT = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([T ]\d{4}(?:\d{2})?)?$"
+COMPACT_TIME = r"T(\d{2})(\d{2})(\d{2})?$"
+NAMED_DAY_FIRST = r"^(?:[A-Za-z]{3,9},? )?(\d{1,2})[ -]([A-Za-z]{3,9})(?:, |[ -])(\d{4}|\d{2})(?!\d)"
+NAMED_MONTH_FIRST = r"^(?:[A-Za-z]{3,9}, )?([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})(?!\d)"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+LAST_OF_CENTURY = 68  # years 69 to 99 are of the last century
 
 
 def strip(text: Column) -> Column:
@@ -81,29 +83,52 @@ def text_number(stripped: Column) -> Column:
     return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it mentions several times but that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _with_month_number(text: Column) -> Column:
+    """``2024-Jan-5`` as ``2024-1-5``; NULL if the month has no such name."""
+    numbers = F.create_map(*[F.lit(x) for i, month in enumerate(MONTHS, 1) for name in dict.fromkeys((month, month[:3])) for x in (name, str(i))])
+    number = F.try_element_at(numbers, F.lower(F.regexp_extract(text, "-([A-Za-z]+)-", 1)))
+    return F.regexp_replace(text, "-[A-Za-z]+-", F.concat(F.lit("-"), number, F.lit("-")))
+
+
+def _iso(text: Column, day_first: bool) -> Column:
+    """The date of any notation rewritten to an ISO one, what follows it as it is."""
+    order = "$4-$3-$1" if day_first else "$4-$1-$3"
+    replaced = lambda pattern, by: F.regexp_replace(text, pattern, by)
+    compact = F.regexp_replace(F.translate(replaced(COMPACT, "$1-$2-$3$4"), " ", "T"), COMPACT_TIME, "T$1:$2:$3")
+    zoned = lambda x: F.regexp_replace(x, " (GMT|UTC)$", "Z")
+    view = (
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-"), text)
+        .when(text.rlike(YEAR_LAST), replaced(YEAR_LAST, order))
+        .when(text.rlike(DOTTED_DAY_FIRST), replaced(DOTTED_DAY_FIRST, "$3-$2-$1"))
+        .when(text.rlike(YEAR_FIRST), replaced(YEAR_FIRST, "$1-$2-$3"))
+        .when(text.rlike(YEAR_AND_MONTH), F.concat(F.translate(text, "/", "-"), F.lit("-01")))
+        .when(text.rlike(COMPACT), F.rtrim(compact, F.lit(":")))
+        .when(text.rlike(NAMED_DAY_FIRST), named(zoned(replaced(NAMED_DAY_FIRST, "$3-$2-$1")), _with_month_number))
+        .when(text.rlike(NAMED_MONTH_FIRST), named(zoned(replaced(NAMED_MONTH_FIRST, "$3-$1-$2")), _with_month_number))
+    )
+    century = lambda x: F.when(F.substring(x, 1, 2) <= str(LAST_OF_CENTURY), "20").otherwise("19")
+    return named(view, lambda x: F.when(x.rlike(r"^\d{2}-"), F.concat(century(x), x)).otherwise(x))
+
+
+def _read_iso(text: Column) -> Column:
+    clock = F.upper(F.regexp_replace(text, r" ?([AaPp][Mm])$", " $1"))
+    seconds = F.when(text.rlike(r":\d{2}:"), "yyyy-M-d h:mm:ss a").otherwise("yyyy-M-d h:mm a")
+    twelve = F.when(text.rlike(TWELVE_HOURS), F.try_to_timestamp(clock, seconds).cast("timestamp_ntz"))
+    return F.when(text.rlike(ISO_TIMESTAMP), text.try_cast("timestamp_ntz")).otherwise(twelve)
+
+
 def text_timestamp(stripped: Column, day_first: bool = False) -> Column:
     """TIMESTAMP_NTZ view of stripped date-like text; the gate spares other text the patterns.
 
-    ``day_first`` says how slashed dates with the year last are read; dotted dates begin with the day.
+    ``day_first`` says how slashed and dashed dates with the year last are read; dotted dates begin with the day.
     """
-    last = "$3-$2-$1" if day_first else "$3-$1-$2"
-    dashed = F.regexp_replace(F.regexp_replace(stripped, SLASH_YEAR_FIRST, "$1-$2-$3"), SLASH_YEAR_LAST, last)
-    iso = (
-        F.when(stripped.contains("/"), dashed)
-        .when(stripped.rlike(DOTTED_DAY_FIRST), F.regexp_replace(stripped, DOTTED_DAY_FIRST, "$3-$2-$1"))
-        .when(F.length(stripped) == 8, F.regexp_replace(stripped, COMPACT, "$1-$2-$3"))
-        .otherwise(stripped)
-    )
-    view = F.when(iso.rlike(ISO_TIMESTAMP), iso.try_cast("timestamp_ntz"))
-    clock = F.upper(F.regexp_replace(iso, r" ?([AaPp][Mm])$", " $1"))
-    seconds = F.when(clock.rlike(r":\d{2}:"), "yyyy-M-d h:mm:ss a").otherwise("yyyy-M-d h:mm a")
-    view = view.when(iso.rlike(TWELVE_HOURS), F.try_to_timestamp(clock, seconds).cast("timestamp_ntz"))
-    for shape, pattern in NAMED_MONTH_FORMATS.items():
-        day = F.try_to_date(F.regexp_replace(stripped, "-", " "), pattern)
-        if pattern.endswith(" yy"):  # years 69 to 99 are of the last century
-            day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
-        view = view.when(stripped.rlike(shape), day.cast("timestamp_ntz"))
-    return F.when((F.length(stripped) >= SHORTEST_DATE) & stripped.rlike(r"\d{4}|[A-Za-z]{3}[ -]\d{2}$"), view)
+    gate = F.length(stripped).between(*DATE_LENGTHS) & stripped.rlike(DATE_HINT)
+    return F.when(gate, named(stripped, lambda text: named(_iso(text, day_first), _read_iso)))
 
 
 def as_number(col: Column, dtype: T.DataType) -> Column:

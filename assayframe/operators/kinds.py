@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.functions.coerce import (
     BOOL_TOKENS,
-    SLASH_YEAR_LAST,
+    YEAR_LAST,
     as_text,
     is_nested,
     is_temporal,
@@ -129,8 +129,8 @@ def _evidence(place: int, field: T.StructField) -> dict[str, Column]:
     if isinstance(dtype, T.StringType):
         evidence["numbers"] = F.count(text_number(stripped))
         evidence["dates"] = F.count(text_timestamp(stripped))
-        # slashed dates that only one order can read
-        parts = F.split(F.when(stripped.rlike(SLASH_YEAR_LAST), stripped), "/")
+        # dates with the year last that only one order can read
+        parts = F.split(F.when(stripped.rlike(YEAR_LAST), stripped), "[/-]")
         first, second = F.try_element_at(parts, F.lit(1)).try_cast("int"), F.try_element_at(parts, F.lit(2)).try_cast("int")
         evidence["by_month"] = F.count_if((first <= 12) & (second > 12) & (second <= 31))
         evidence["by_day"] = F.count_if((second <= 12) & (first > 12) & (first <= 31))

@@ -135,15 +135,18 @@ def _(spark, sf):
 # -- the logged run ---------------------------------------------------------------------------
 
 OPTIONS = dict(
-    imputation={"total": "median", "email": "mode"}, drop_duplicates=True, standardise=True, merge_fuzzy=False, outlier_action="cap",
+    imputation={"total": "median", "email": "mode"}, drop_duplicates=True, standardise=True, outlier_action="cap",
 )
 MOMENT = dt.datetime(2000, 1, 1)
 
+# All spellings of the statuses are single letters, which never resemble one another.
+_MERGED = f"(SELECT canonical FROM merged WHERE label = {_standard('priority_txt')})"
 STEPS = [
+    FUZZY_MAP,
     "dd AS (SELECT *  EXCLUDE (copy) FROM (SELECT *, row_number() OVER (PARTITION BY " + ", ".join(DIRTY_COLUMNS) + " ORDER BY row_id) AS copy FROM keyed) WHERE copy = 1)",
     """filled AS (SELECT * REPLACE (coalesce(total, (SELECT quantile_cont(total, 0.5) FROM dd)) AS total,
       coalesce(email, (SELECT email FROM dd WHERE email IS NOT NULL GROUP BY email ORDER BY count(*) DESC, email LIMIT 1)) AS email) FROM dd)""",
-    f"typed AS ({_replaced('filled', {**TYPED, 'priority_txt': _standard('priority_txt'), 'status': _standard('status')}, 'row_id, ')})",
+    f"typed AS ({_replaced('filled', {**TYPED, 'priority_txt': _MERGED, 'status': _standard('status')}, 'row_id, ')})",
     """fences AS (SELECT quantile_cont(total, 0.25) - 1.5 * (quantile_cont(total, 0.75) - quantile_cont(total, 0.25)) AS tl,
       quantile_cont(total, 0.75) + 1.5 * (quantile_cont(total, 0.75) - quantile_cont(total, 0.25)) AS th,
       quantile_cont(qty_txt, 0.25) - 1.5 * (quantile_cont(qty_txt, 0.75) - quantile_cont(qty_txt, 0.25)) AS ql,
@@ -162,8 +165,8 @@ def _(spark, sf):
     return round_all(cleaning_run(spark, sf).cleaned, 4)
 
 
-def _changed(c: str) -> str:
-    return f"(SELECT count(*) FROM filled WHERE {c} <> {_standard(c)})"
+def _changed(c: str, to: str | None = None) -> str:
+    return f"(SELECT count(*) FROM filled WHERE {c} <> {to or _standard(c)})"
 
 
 def _line(place: int, operation: str, columns: str, detail: str, hits: str, always: bool = True) -> str:
@@ -189,8 +192,8 @@ LOG_LINES = " UNION ALL ".join([
     _line(4, "dtype-correction", "qty_txt", _text("Coerced to numeric; %d unparseable values became NaN", _BAD_QTY), _BAD_QTY, False),
     _line(5, "dtype-correction", "date_txt", _text("Coerced to datetime; %d unparseable values became NaN", _BAD_DATE), _BAD_DATE, False),
     _line(6, "dtype-correction", "active", "'Coerced to boolean'", "0"),
-    _line(7, "categorical-standardisation", "priority_txt", _text("Normalised %d labels (strip/case)", _changed("priority_txt")), _changed("priority_txt"), False),
-    _line(8, "categorical-standardisation", "status", _text("Normalised %d labels (strip/case)", _changed("status")), _changed("status"), False),
+    _line(7, "categorical-standardisation", "priority_txt", _text("Normalised %d labels (strip/case + fuzzy merge)", _changed("priority_txt", _MERGED)), _changed("priority_txt", _MERGED), False),
+    _line(8, "categorical-standardisation", "status", _text("Normalised %d labels (strip/case + fuzzy merge)", _changed("status")), _changed("status"), False),
     _line(9, "outlier-cap", "total", _text("Winsorized %d values outside IQR bounds to nearest fence", _CAP_T), _CAP_T),
     _line(10, "outlier-cap", "qty_txt", _text("Winsorized %d values outside IQR bounds to nearest fence", _CAP_Q), _CAP_Q),
     _line(11, "end", "", _text("Cleaning complete: %d rows x 11 columns", "(SELECT count(*) FROM cleaned)"), "0"),

@@ -265,11 +265,14 @@ def _(spark, sf):
 
 # -- dates in many notations: each reads as the order's own date ------------------------------------
 
-NOTATIONS = ["dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMM-yy", "MMM d, yyyy", "yyyy/MM/dd", "M/d/yyyy h:mm a"]
+NOTATIONS = ["dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMM-yy", "MMM d, yyyy", "yyyy/MM/dd", "M/d/yyyy h:mm a",
+             "dd-MM-yyyy", "MM-dd-yyyy", "MMM d yyyy", "d MMM yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy.MM.dd", "dd/MM/yy", "dd.MM.yy",
+             "yyyyMMdd'T'HHmmss", "MMMM d, yyyy h:mm a"]
+NOTATION_LIST = ", ".join("'" + n.replace("'", "''") + "'" for n in NOTATIONS)
 
 
 @check("date_notations", f"""SELECT n AS notation, 'datetime' AS kind, count(*) AS parsed, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_orderdate) AS days
-  FROM orders CROSS JOIN unnest({NOTATIONS}) AS t(n) GROUP BY n""")
+  FROM orders CROSS JOIN unnest([{NOTATION_LIST}]) AS t(n) GROUP BY n""")
 def _(spark, sf):
     orders = read(spark, sf, "orders")
     written = orders.select(*[F.date_format("o_orderdate", n).alias(f"n{i}") for i, n in enumerate(NOTATIONS)])

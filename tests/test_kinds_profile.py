@@ -27,6 +27,10 @@ def test_number_view(spark, text, number):
 @pytest.mark.parametrize("text,stamp", [
     ("2024-01-15", dt.datetime(2024, 1, 15)), ("2024-1-5 10:30", dt.datetime(2024, 1, 5, 10, 30)),
     ("2024/02/03", dt.datetime(2024, 2, 3)), ("02/03/2024", dt.datetime(2024, 2, 3)), ("5 Jan 2024", dt.datetime(2024, 1, 5)),
+    ("01-15-2024", dt.datetime(2024, 1, 15)), ("Jan 15 2024", dt.datetime(2024, 1, 15)), ("15 Jan 2024 10:30", dt.datetime(2024, 1, 15, 10, 30)),
+    ("Mon, 15 Jan 2024 10:00:00 GMT", dt.datetime(2024, 1, 15, 10)), ("2024.01.15", dt.datetime(2024, 1, 15)), ("15.01.24", dt.datetime(2024, 1, 15)),
+    ("2024-01", dt.datetime(2024, 1, 1)), ("20240115T103000", dt.datetime(2024, 1, 15, 10, 30)), ("January 5, 2024 3:00 PM", dt.datetime(2024, 1, 5, 15)),
+    ("1/5/99", dt.datetime(1999, 1, 5)), ("15 Foo 2024", None), ("1.2.34", None), ("10-20-30", None), ("12345678", None), ("1999-2000", None),
     ("Jan 5, 2024", dt.datetime(2024, 1, 5)), ("2024-13-01", None), ("bad-date", None), ("12", None), ("", None),
 ])
 def test_timestamp_view(spark, text, stamp):
@@ -34,6 +38,12 @@ def test_timestamp_view(spark, text, stamp):
     assert df.select(as_timestamp(F.col("v"), df.schema["v"].dataType)).first()[0] == stamp
 
 
+@pytest.mark.parametrize("text", ["15-01-2024", "15/01/24", "15/01/2024"])
+def test_days_first(spark, text):
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(as_timestamp(F.col("v"), df.schema["v"].dataType, True)).first()[0] == dt.datetime(2024, 1, 15)
+
+
 def test_boolean_and_label_views(spark):
     df = spark.createDataFrame([(" Yes",), ("f",), ("maybe",), (None,)], "v string")
     assert [r[0] for r in df.select(as_boolean(F.col("v"), df.schema["v"].dataType)).collect()] == [True, False, None, None]
