@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,9 +15,11 @@ from assayframe.sources.typing import blank_tokens, infer_types
 from assayframe.sources.workbook import read_workbooks
 
 ROW_ID = "_row_id"
+# Splits whose offsets are broadcast, at most.
+BROADCAST_SPLITS = 100_000
 
 # Reader per file extension; others are read as delimited text.
-READERS = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".xlsx": "xlsx", ".json": "json"}
+READERS = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".xlsx": "xlsx", ".xls": "xls", ".json": "json"}
 
 # Names Spark knows the encodings by.
 SPARK_CHARSETS = {"latin-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252": "windows-1252"}
@@ -51,6 +54,22 @@ def _with_row_id(df: DataFrame) -> DataFrame:
     return df.select("*", key.alias(ROW_ID))
 
 
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """``df`` with its order key turned into dense row numbers from 1: files by path, rows as they stand in them.
+
+    The splits are counted, one row each, and every row's number follows from its place in its split and the rows before
+    the split; no row moves.
+    """
+    file, block, place = (F.col(f"{ROW_ID}.{name}") for name in ("file", "block", "place"))
+    splits = sorted(tuple(r) for r in df.groupBy(file.alias("file"), block.alias("block")).agg(F.min(place).alias("first"), F.count("*").alias("n")).collect())
+    before = [0, *accumulate(n for *_, n in splits)]
+    rows = [(f, b, first, k) for (f, b, first, _), k in zip(splits, before)]
+    offsets = df.sparkSession.createDataFrame(rows, "_file string, _block long, _first long, _before long")
+    side = F.broadcast(offsets) if len(rows) <= BROADCAST_SPLITS else offsets
+    joined = df.join(side, (file == F.col("_file")) & (block == F.col("_block")))
+    return joined.withColumn(ROW_ID, F.col("_before") + place - F.col("_first") + 1).drop("_file", "_block", "_first", "_before")
+
+
 def _spark_charset(spark: SparkSession, encoding: str) -> str:
     charset = SPARK_CHARSETS.get(encoding.lower(), encoding)
     if charset == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
@@ -199,17 +218,28 @@ def load_dataset(
     encoding: str | None = None,
     delimiter: str | None = None,
     max_rows: int | None = None,
+    with_row_id: bool = False,
 ) -> Loaded:
-    """Read a file, or every file of a folder by its own extension; nothing is cut unless ``max_rows`` is given."""
+    """Read a file, or every file of a folder by its own extension; nothing is cut unless ``max_rows`` is given.
+
+    ``with_row_id`` adds ``_row_id``, the number of each row in the order of files and lines, for operators that need an
+    order; delimited files only.
+    """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kinds = F.coalesce(*[F.when(suffix == s, kind) for s, kind in READERS.items()], F.lit("csv"))
     files = list_files(spark, path).select("path", kinds.alias("kind"))
     found = sorted(r["kind"] for r in files.select("kind").distinct().collect()) or ["csv"]
+    if "xls" in found:
+        raise ValueError("binary .xls workbooks cannot be read; save them as .xlsx or .csv")
+    if with_row_id and found != ["csv"]:
+        raise ValueError("row numbers need delimited files")
     parts = []
     for kind in found:
         where = path if len(found) == 1 else [r["path"] for r in files.where(F.col("kind") == kind).select("path").orderBy("path").collect()]
-        parts.append(read_json(spark, where) if kind == "json" else read_sheets(spark, where) if kind == "xlsx" else read_delimited(spark, where, encoding, delimiter))
+        parts.append(read_json(spark, where) if kind == "json" else read_sheets(spark, where) if kind == "xlsx" else read_delimited(spark, where, encoding, delimiter, with_row_id=with_row_id))
     loaded = parts[0]
+    if with_row_id:
+        loaded.df = numbered_rows(loaded.df)
     if len(parts) > 1:
         known = lambda name: "|".join(sorted({v for p in parts if (v := getattr(p, name))})) or None
         loaded = Loaded(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayframe.operators import clean, eda, insights, report
 from assayframe.plans.facts import Facts
 from assayframe.plans.wide import union_all
+from checks.clean_checks import LOG_LINES, MOMENT, STEPS, cleaning_run
 from checks.eda_checks import KNOWN, PRICED_LABELS, PRICED_NUMBERS, RELATED, SHAPE, SIGN, STATS, SUMMARY_BODY, _eta, _label_ctes, _pairs, _tables, priced_lines
 from checks.inputs import dirty_keyed, dirty_orders, read
 from checks.profile_checks import DUPLICATES_BODY, KINDS, TOTALS_BODY
@@ -118,16 +119,17 @@ def _(spark, sf):
     return insights.insights(dirty_orders(spark, sf), AS_OF)
 
 
-@check("insights_structure", dirty(
-    """SELECT printf('The dataset has %s rows and 11 columns (%d numeric, %d categorical, %d datetime, %d free-text, %d boolean).',
-      format('{:,}', (SELECT count(*) FROM d)), count_if(kind = 'numerical'), count_if(kind = 'categorical'), count_if(kind = 'datetime'),
-      count_if(kind = 'text'), count_if(kind = 'boolean')) AS text FROM kinds
-    UNION ALL SELECT printf('%s fully duplicated rows (%.1f%%) will skew all downstream metrics if left untouched.',
-      format('{:,}', CAST(duplicate_rows AS BIGINT)), 100.0 * duplicate_rows / (SELECT count(*) FROM d)) FROM (""" + DUPLICATES_BODY + ") WHERE duplicate_rows > 0",
-    KINDS))
+@check("insights_structure", dirty("SELECT text FROM findings WHERE rule <= 3", *TEXT_PIECES))
 def _(spark, sf):
-    facts = Facts.of(dirty_orders(spark, sf))
-    return insights.structural_insights(facts).where("rule < 3").select("text")
+    return insights.structural_insights(Facts.of(dirty_orders(spark, sf))).select("text")
+
+
+@check("insights_with_log", dirty(
+    """SELECT category, severity, text FROM findings
+    UNION ALL SELECT 'structure', 'info', printf('Cleaning applied %d transformations — see the cleaning log for details.', (SELECT count(*) - 2 FROM log))""",
+    *TEXT_PIECES, *STEPS, f"log AS ({LOG_LINES})"))
+def _(spark, sf):
+    return insights.insights(dirty_orders(spark, sf), AS_OF, cleaning_run(spark, sf).log(MOMENT))
 
 
 @check("insights_relationships", f"""WITH {', '.join(RELATED)} SELECT CASE "type"

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.sources import inspect, readers, sinks
+from checks.clean_checks import LOG_LINES, MOMENT, STEPS, cleaning_run
 from checks.inputs import dirty_orders, read
 from checks.registry import check, dirty, pct, r  # noqa: F401
 
@@ -151,22 +152,32 @@ def _(spark, sf):
     return readers.load_dataset(spark, path).df.select(*customer.columns)
 
 
-@check("encoding_class", """SELECT 'UTF-8' AS folder, 'utf-8' AS encoding WHERE EXISTS (SELECT 1 FROM documents)
-  UNION ALL SELECT 'ISO-8859-1', CASE WHEN EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, '[\u00a0-\u00ff]')) THEN 'cp1252' ELSE 'utf-8' END WHERE EXISTS (SELECT 1 FROM documents)""")
+_LATIN = "regexp_matches(text, '[\u00a0-\u00ff]')"
+
+
+# Eight files for each encoding; a file without a letter beyond ASCII reads as UTF-8.
+@check("encoding_class", f"""SELECT folder, CAST(doc_id % 8 AS INTEGER) AS chunk, CASE WHEN folder = 'UTF-8' OR NOT bool_or({_LATIN}) THEN 'utf-8' ELSE 'cp1252' END AS encoding
+  FROM documents CROSS JOIN (VALUES ('UTF-8'), ('ISO-8859-1')) AS t(folder) GROUP BY folder, doc_id % 8""")
 def _(spark, sf):
     path = scratch(spark)
-    texts = read(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\xff]|[\x80-\x9f]", "?").alias("text")).coalesce(1)
+    chunk = (F.col("doc_id") % 8).cast("int").alias("chunk")
+    texts = read(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\xff]|[\x80-\x9f]", "?").alias("text"), chunk).repartitionByRange(8, "chunk")
     for encoding in ("UTF-8", "ISO-8859-1"):
-        texts.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(f"{path}/{encoding}")
-    folder = F.element_at(F.split("path", "/"), -2).alias("folder")
-    return inspect.inspect_text(spark, path).where(F.col("path").endswith(".csv")).select(folder, "encoding").distinct()
+        texts.write.partitionBy("chunk").option("header", True).option("encoding", encoding).option("escape", '"').csv(f"{path}/{encoding}")
+    parts = F.split("path", "/")
+    found = inspect.inspect_text(spark, path).where(F.col("path").endswith(".csv"))
+    return found.select(F.element_at(parts, -3).alias("folder"), F.regexp_extract(F.element_at(parts, -2), r"=(\d+)", 1).cast("int").alias("chunk"), "encoding").distinct()
 
 
-@check("load_metadata", """SELECT 'csv' AS "type", 'utf-8' AS encoding, ',' AS delimiter, count(*) AS rows_loaded, false AS truncated FROM part""")
+@check("load_metadata", """SELECT true AS is_file, 'csv' AS "type", 'utf-8' AS encoding, ',' AS delimiter, count(*) AS rows_loaded, true AS all_files, true AS all_bytes, false AS truncated FROM part""")
 def _(spark, sf):
     path = scratch(spark)
     sinks.write_csv(read(spark, sf, "part"), path)
-    return readers.load_dataset(spark, path).metadata().drop("file", "files", "size_bytes")
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    seen = readers.load_dataset(spark, path).metadata().crossJoin(F.broadcast(stored))
+    return seen.select(
+        (F.col("file") == path).alias("is_file"), "type", "encoding", "delimiter", "rows_loaded", (F.col("files") == F.col("n")).alias("all_files"),
+        (F.col("size_bytes") == F.col("bytes")).alias("all_bytes"), "truncated")
 
 
 @check("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -236,8 +247,18 @@ def _(spark, sf):
     return readers.load_dataset(spark, path, max_rows=50).metadata().select("rows_loaded", "truncated")
 
 
-@check("log_sink", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+@check("log_sink", dirty(f"SELECT operation, columns, detail, rows_affected, 'applied' AS status FROM ({LOG_LINES})", *STEPS))
 def _(spark, sf):
     path = scratch(spark)
-    sinks.write_log(read(spark, sf, "region"), path)
-    return readers.load_dataset(spark, path).df
+    sinks.write_log(cleaning_run(spark, sf).log(MOMENT).select("operation", "columns", "detail", "rows_affected", "status"), path)
+    return readers.load_dataset(spark, path).df.withColumn("columns", F.coalesce("columns", F.lit("")))
+
+
+# -- row numbers ---------------------------------------------------------------------------
+
+
+@check("csv_row_numbers", "SELECT row_number() OVER (ORDER BY o_orderkey) AS _row_id, o_orderkey, o_custkey FROM orders")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_csv(read(spark, sf, "orders").select("o_orderkey", "o_custkey").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return readers.load_dataset(spark, path, with_row_id=True).df
