@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.functions.coerce import percent, rounded
 from assayframe.functions.stats import (
@@ -18,6 +18,8 @@ from assayframe.functions.stats import (
     sign_word,
     strength_word,
 )
+from assayframe.plans.crosstabs import pair_counts
+from assayframe.plans.durable import written
 from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group
 from assayframe.plans.wide import MAX_EXPRESSIONS, long_aggregate, small_frame, union_all
@@ -30,8 +32,8 @@ ETA_SHOWN = 0.5
 CRAMERS_SHOWN = 0.4
 STRONG = 0.6
 
-# Pairs of label columns that one scan of the table spreads out and folds again.
-PAIRS_PER_SCAN = 60
+# Labels whose totals are broadcast, at most.
+BROADCAST_LABELS = 100_000
 
 # A variance this small against the squared cell size is numeric noise.
 NOISE = 1e-14
@@ -271,22 +273,25 @@ def eta(table: Facts | DataFrame, max_levels: int | None = None) -> DataFrame:
 
 
 def contingency(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(x, y, a, b, n)``: rows per combination of labels, for all pairs of label columns or the given ones."""
+    """``(x, y, a, b, n)``: rows per combination of labels, for all pairs of label columns or the given ones, in one scan."""
     facts = Facts.of(table)
     pairs = list(combinations(facts.labelled, 2)) if pairs is None else pairs
+    schema = "x string, y string, a string, b string, n bigint"
     if not pairs:
-        return small_frame(facts.df.sparkSession, [], "x string, y string, a string, b string, n bigint")
-    parts = []
-    for first in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = F.array(*[
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), facts.text(x).alias("a"), facts.text(y).alias("b"))
-            for x, y in pairs[first : first + PAIRS_PER_SCAN]
-        ])
-        parts.append(
-            facts.df.select(F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-            .groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        )
-    return union_all(parts)
+        return small_frame(facts.df.sparkSession, [], schema)
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    texts = facts.df.select(*[facts.text(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    counted = pair_counts(texts, [(columns.index(x), columns.index(y)) for x, y in pairs])
+    # pairs as numbers through the shuffle, as names behind it
+    names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
+    return counted.select(F.get(names, F.col("pair")).alias("xy"), "a", "b", "n").select("xy.x", "xy.y", "a", "b", "n")
+
+
+def _share_of(counts: DataFrame, side: str, name: str) -> DataFrame:
+    """``counts`` with the number of rows of each label of one side; hot labels are split by the skew join or broadcast."""
+    totals = written(counts.groupBy("x", "y", side).agg(F.sum("n").alias(name)), "marginals")
+    few = len(totals.limit(BROADCAST_LABELS + 1).select(name).take(BROADCAST_LABELS + 1)) <= BROADCAST_LABELS
+    return counts.join(F.broadcast(totals) if few else totals, ["x", "y", side])
 
 
 def cramers_v(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -295,14 +300,13 @@ def cramers_v(table: Facts | DataFrame, pairs: list[tuple[str, str]] | None = No
     Chi-square is ``n * (sum(o^2 / (row * column)) - 1)``, so only the observed
     combinations are needed.
     """
-    counts = contingency(table, pairs)
-    row = F.sum("n").over(Window.partitionBy("x", "y", "a"))
-    column = F.sum("n").over(Window.partitionBy("x", "y", "b"))
+    counts = written(contingency(table, pairs), "contingency")
     per_pair = (
-        counts.withColumn("row", row).withColumn("col", column)
+        _share_of(_share_of(counts, "a", "row"), "b", "col")
         .groupBy("x", "y")
         .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col").cast("double"))).alias("s"),
-             F.count_distinct("a").alias("rows"), F.count_distinct("b").alias("cols"))
+             # each level's share of itself adds up to one
+             F.round(F.sum(F.col("n") / F.col("row"))).cast("bigint").alias("rows"), F.round(F.sum(F.col("n") / F.col("col"))).cast("bigint").alias("cols"))
     )
     smaller = F.least("rows", "cols") - 1
     return per_pair.where(smaller >= 1).select(

@@ -169,7 +169,7 @@ def cleaning_insights(log: DataFrame) -> DataFrame:
 
 def insights(table: Facts | DataFrame, as_of: dt.datetime | None = None, cleaning_log: DataFrame | None = None) -> DataFrame:
     """``(category, severity, text)``, errors first, then warnings, then the rest."""
-    facts = Facts.of(table)
+    facts = Facts.settled(table)
     parts = [
         structural_insights(facts), distribution_insights(facts), relationship_insights(facts),
         quality_insights(facts, as_of), time_insights(facts),

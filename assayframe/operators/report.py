@@ -22,7 +22,7 @@ from assayframe.plans.wide import union_all
 
 def quality_suite(table: Facts | DataFrame, as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
     """All quality tables of one input over shared facts."""
-    facts = Facts.of(table)
+    facts = Facts.settled(table)
     return {
         "missing": missing_by_column(facts),
         "duplicates": duplicate_summary(facts),
@@ -57,7 +57,7 @@ def report(
     Everything is reported; ``max_rows`` (by section) and ``max_chars`` (of a cell) shorten it. Call ``release`` on the
     facts passed in when the report is written.
     """
-    facts = Facts.of(table).share()
+    facts = Facts.settled(table).share()
     stamp = generated_at or dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     score = quality_score(facts, as_of)
     overview = shape(facts).select(

@@ -88,7 +88,7 @@ def quality_score(
     iqr_factor: float = IQR_FACTOR,
 ) -> DataFrame:
     """``(dimension, score, weight, grade, detail)`` per dimension plus an ``overall`` row."""
-    facts = Facts.of(table)
+    facts = Facts.settled(table)
     weights = weights or WEIGHTS
     if facts.rows == 0:
         rows = [(d, 0.0, weights[d], "Critical", "Empty dataframe") for d in WEIGHTS] + [("overall", 0.0, 1.0, "Critical", "Empty dataframe")]

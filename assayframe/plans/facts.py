@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayframe.functions.coerce import as_boolean, as_number, as_text, as_timestamp
 from assayframe.operators.kinds import Kind, detect_kinds
 from assayframe.plans.duplicates import comparable, fresh, without_nan
+from assayframe.plans.durable import written
 from assayframe.plans.frequency import value_counts
 from assayframe.plans.quantiles import exact_quantiles
 from assayframe.plans.wide import long_aggregate, small_frame
@@ -54,6 +55,21 @@ class Facts:
     def of(cls, table: "Facts | DataFrame") -> "Facts":
         return table if isinstance(table, Facts) else cls(table)
 
+    @classmethod
+    def settled(cls, table: "Facts | DataFrame") -> "Facts":
+        """Facts for an operator that goes over the table many times: text columns of numbers or dates are parsed once.
+
+        The table is written with its parsed columns and read from there; facts that come in, and tables without such
+        columns, stay as they are.
+        """
+        if isinstance(table, Facts):
+            return table
+        facts = cls(table)
+        if facts._parsed:
+            facts.df = written(facts.df, "facts")
+            facts.table = facts.visible(facts.df)
+        return facts
+
     # -- kinds ---------------------------------------------------------------
 
     @property

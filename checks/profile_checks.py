@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.operators import duplicates, kinds, missing, profile
+from assayframe.functions.coerce import rounded
+from assayframe.operators import duplicates, kinds, missing, profile, stored
 from assayframe.plans.facts import Facts
 from assayframe.plans.wide import union_all
 from checks.inputs import DIRTY_COLUMNS, dirty_keyed, dirty_orders, read
@@ -283,3 +284,31 @@ def _(spark, sf):
         for i, n in enumerate(NOTATIONS) for t in [facts.timestamp(f"n{i}")]
     ]
     return union_all(parts)
+
+
+# -- facts that are stored by part and merged ---------------------------------------------------
+
+_STORED = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag"]
+_STORED_NUMBERS = _STORED[:4]
+
+
+@check("stored_facts", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS count, count(*) - count({c}) AS missing, """
+    + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, {r(f'avg({c})', 6)} AS mean, {r(f'stddev_samp({c})', 6)} AS std, "
+       if c in _STORED_NUMBERS else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, ")
+    + "true AS near_distinct, true AS near_median FROM lineitem" for c in _STORED))
+def _(spark, sf):
+    lines = read(spark, sf, "lineitem").select(*_STORED, "l_linenumber")
+    merged = stored.facts_profile(stored.merge_facts(stored.column_facts(lines, by="l_linenumber")))
+    # the estimates against exact counts: within four standard errors, and within the bound of the ranks
+    exact = lines.agg(*[F.count_distinct(c).alias(f"u_{c}") for c in _STORED])
+    ranks = merged.where(F.col("q50").isNotNull()).select("column", "q50").collect()
+    shares = lines.agg(*[
+        F.struct((F.count_if(F.col(x["column"]) < x["q50"]) / F.count("*")).alias("below"), (F.count_if(F.col(x["column"]) <= x["q50"]) / F.count("*")).alias("upto")).alias(x["column"])
+        for x in ranks])
+    unique = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u_{c}").alias("u")) for c in _STORED])))
+    share = shares.select(F.inline(F.array(*[F.struct(F.lit(x["column"]).alias("column"), F.col(f"{x['column']}.below").alias("below"), F.col(f"{x['column']}.upto").alias("upto")) for x in ranks])))
+    near = (F.col("below") <= 0.5 + stored.RANK_ERROR) & (F.col("upto") >= 0.5 - stored.RANK_ERROR)
+    return merged.join(unique, "column").join(share, "column", "left").select(
+        "column", "rows", "count", "missing", "min", "max", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("std"), 6).alias("std"),
+        (F.abs(F.col("unique") - F.col("u")) <= 4 * 0.013 * F.col("u")).alias("near_distinct"), F.coalesce(near, F.lit(True)).alias("near_median"))

@@ -174,3 +174,21 @@ def test_whole_suite_on_the_sample_tables(spark, name):
     if name == "dirty":
         assert facts.kinds["a"].kind == "numerical"
     facts.release()
+
+
+def test_pair_counts_equal_plain_counts(spark, monkeypatch):
+    import collections
+    import random
+
+    from assayframe.plans import crosstabs
+
+    rnd = random.Random(8)
+    columns = [["x", "y", None], [f"many {i}" for i in range(300)], ["", "é", "x"], [None]]
+    data = [tuple(rnd.choice(values) for values in columns) for _ in range(700)] + [("x", "hot", "x", None)] * 300
+    df = spark.createDataFrame(data, "a string, b string, c string, d string").repartition(3)
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 0), (0, 3)]
+    want = collections.Counter((p, r[x], r[y]) for r in data for p, (x, y) in enumerate(pairs) if r[x] is not None and r[y] is not None)
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(crosstabs, "HELD", held)
+        assert {(r["pair"], r["a"], r["b"]): r["n"] for r in crosstabs.pair_counts(df, pairs).collect()} == want
+    assert crosstabs.pair_counts(df.limit(0), pairs).collect() == []

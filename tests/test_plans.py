@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from assayframe.operators.duplicates import drop_duplicates, duplicate_summary
 from assayframe.plans.carry import directional_fill
+from assayframe.plans.durable import clear_scratch, written
 from assayframe.plans.duplicates import duplicate_groups
+from assayframe.plans.facts import Facts
 from assayframe.plans.frequency import top_per_group, value_counts
 from assayframe.plans import quantiles as Q
 from assayframe.plans.ordering import numbered
@@ -151,3 +153,21 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     ranked = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], 3)
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
     assert [r["value"] for r in ranked.orderBy("rank").collect()] == ["0", "1", "10"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = written(spark.range(5), "numbers")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 5 and any("/numbers-" in p for p in clear_scratch(spark))
+    assert clear_scratch(spark) == []
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_settled_facts_parse_text_once(spark):
+    df = spark.createDataFrame([(f"{i}.5", f"2024-01-{i % 28 + 1:02}", i, "x") for i in range(100)], "n string, d string, i int, t string")
+    facts = Facts.settled(df)
+    assert "rlike" not in facts.df._jdf.queryExecution().toString().lower() and facts.table.columns == df.columns
+    assert facts.summary == Facts(df).summary
+    plain = Facts.settled(df.select("i"))
+    assert plain.df.columns == ["i"] and Facts.settled(plain) is plain
