@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayframe.plans.durable import ensure_checkpoint_dir
+from assayframe.plans.durable import scratch_folder, written
 
 #: A side of at most so many narrow rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -19,9 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names, which every executor reaches."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which every executor reaches; ``clear_scratch`` deletes it."""
+    return scratch_folder(spark, name)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -29,10 +26,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: later jobs and retries of lost tasks read the files, whichever executor wrote them.
     """
-    path = shared_folder(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return written(df, name)
 
 
 def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -82,8 +82,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     Open elements are tracked by name, so unclosed and stray tags do no harm; an article that begins inside unclosed
     navigation or page header ends that. Comments, scripts, styles and a tag cut off at the end hold no text. Articles mark
     the page only if they hold more than half of its text without furniture. An element that only its name or a form around
-    it makes suspect is furniture if the unsuspected text is at least as long (for reader comments: if there is any), or if
-    it consists of links; so no page loses its only text to a name. An article inside a form is not suspect.
+    it makes suspect is furniture if the unsuspected text is at least as long (for reader comments, and for names beside an
+    article: if there is any), or if it consists of links; so no page loses its only text to a name. An article inside a form is not suspect.
     """
     if not page:
         return []
@@ -171,10 +171,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if not doubt:
             chars[where] += len(text)
     plain = doubted[0] - chars["header"]
+    in_article = {doubt for _, where, _, doubt in raw if where == "article"}
 
     def is_furniture(doubt: int) -> bool:
         size = doubted[doubt]
-        return plain > 0 and (suspects[doubt] == "reader" or size <= plain) or doubted_links[doubt] > 0.8 * size
+        beside = suspects[doubt] == "suspect" and chars["article"] > 0 and doubt not in in_article
+        return plain > 0 and (suspects[doubt] == "reader" or beside or size <= plain) or doubted_links[doubt] > 0.8 * size
 
     dropped = {i for i in range(1, len(suspects)) if is_furniture(i)}
     for text, where, _, doubt in raw:

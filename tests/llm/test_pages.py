@@ -110,11 +110,12 @@ def test_shuffled_removal_equals_broadcast(spark, monkeypatch):
     assert P.extract(df.limit(0)).collect() == []
 
 
-def test_articles_of_the_given_pages(spark):
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.1"])
+def test_articles_of_the_given_pages(spark, folder):
     from assayframe.llm.queries import QUERIES
 
-    found = {r["page_id"]: r["text"] for r in QUERIES["op2_page_boilerplate"](spark, SF).collect()}
-    for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
+    found = {r["page_id"]: r["text"] for r in QUERIES["op2_page_boilerplate"](spark, folder).collect()}
+    for row in spark.read.parquet(f"{folder}/pages.parquet").collect():
         article = re.search(r"<article>(.*?)</article>", row["html"], re.S)[1]
         plain = [" ".join(entities.unescape(re.sub(r"</?b>|<br>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert found[row["page_id"]] == "\n\n".join(b for b in plain if b)
@@ -139,6 +140,7 @@ def test_suspect_elements_beside_longer_text():
         assert kept(f"<div><p>{text}</p>{suspect}</div>") == text
         assert kept(f"<article><p>{text}</p>{suspect}</article>") == text
     assert kept(f"<p>{text}</p><div class=related>{text + text}</div>") == f"{text}\n\n{text + text}"  # longer than all other text
+    assert kept(f"<div class=ad>{text}</div><article><p>A short one.</p></article>") == "A short one."
     assert kept(f"<form class=search><article><p>{text}</p></article></form>") == text
     assert kept("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p></article>") == "Let x=1 hold"
 
