@@ -1,9 +1,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
-from assayframe.functions.similarity import ratio_function
+from assayframe.functions.similarity import ratio_function, similar_function
 from assayframe.operators import clean, fuzzy
 from assayframe.operators.fuzzy import label_map
 from assayframe.plans.facts import Facts
@@ -70,6 +71,50 @@ def test_unlike_labels_take_few_rounds_and_a_crowd_stays_in_small_blocks(spark,
     assert {r["label"]: r["canonical"] for r in label_map(df, 95, 10).collect()} == greedy(crowd, 95)
 
 
+@pytest.mark.parametrize("longest,alphabet", [(12, "ab"), (30, "abcé "), (150, "abcdefgh日本\0")])
+def test_many_labels_compared_at_once_equal_the_plain_ratio(longest, alphabet):
+    rnd, ratio = random.Random(longest), ratio_function()
+    base = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, longest))) for _ in range(5)]
+    labels = [list(rnd.choice(base)) for _ in range(60)]
+    for w in labels:
+        for _ in range(rnd.randint(0, 6)):
+            w.insert(rnd.randrange(len(w) + 1), rnd.choice(alphabet)) if rnd.random() < 0.5 or not w else w.pop(rnd.randrange(len(w)))
+    labels = ["".join(w) for w in labels] + [""]
+    for threshold in (50, 75, 88, 100):
+        want = [[bool(a and b) and ratio(b, a) >= threshold for b in labels[::2]] for a in labels]
+        for limits in ((), (1, 1), (300, 400)):
+            assert similar_function(*limits)(labels, labels[::2], threshold).tolist() == want
+
+
+@pytest.mark.parametrize("pairs", [0, 4_000_000])
+def test_representatives_from_bits_equal_one_by_one(monkeypatch, pairs):
+    monkeypatch.setattr(fuzzy, "PAIRS", pairs)
+    rnd = np.random.default_rng(6)
+    for n, share in ((1, 0.5), (40, 0.02), (61, 0.2), (64, 0.9)):
+        alike = np.tril(rnd.random((n, n)) < share, -1)
+        want = np.zeros(n, bool)
+        for i in range(n):
+            want[i] = not (alike[i] & want).any()
+        assert (fuzzy.chosen_function()(np.packbits(alike, axis=1)) == want).all()
+
+
+@pytest.mark.parametrize("direct,held", [(0, 0), (0, 1 << 14), (50, 20)])
+def test_blocks_by_keys_equal_sequential_greedy(spark, monkeypatch, direct, held):
+    monkeypatch.setattr(fuzzy, "DIRECT", direct)
+    monkeypatch.setattr(fuzzy, "BROADCAST_LABELS", held)
+    labels = noisy_labels(180)
+    df = spark.createDataFrame([(c, label) for label in labels for c in "cd"], "column string, label string")
+    found = label_map(df, 75, 40).collect()
+    assert all({r["label"]: r["canonical"] for r in found if r["column"] == c} == greedy(labels, 75) for c in "cd")
+
+
+def test_numbered_names_are_compared_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "_probe_keys", None)  # their keys are those of nearly all names
+    names = {f"customer#{i:09}" for i in range(0, 30_000, 5)}
+    df = spark.createDataFrame([("c", name) for name in names], "column string, label string")
+    assert {r["label"]: r["canonical"] for r in label_map(df, 88).collect()} == greedy(names, 88)
+
+
 def test_standardise_keeps_nulls_and_rows(spark):
     df = spark.createDataFrame([(" Premium",), ("premum",), ("PREMIUM ",), (None,), ("Other",)], "s string")
     assert sorted(rows(clean.standardise_labels(df, ["s"])), key=repr) == sorted([("premum",)] * 3 + [(None,), ("other",)], key=repr)
