@@ -74,6 +74,16 @@ def similar_function(cells: int = CELLS, characters: int = CHARACTERS) -> Callab
         bits = np.concatenate([times >= 1, times >= 2], axis=1)
         return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
 
+    def near(own: np.ndarray, theirs: np.ndarray, most: np.ndarray) -> np.ndarray | None:
+        """The pairs, numbered row by row, whose marks differ by at most so many bits; none at all if they are not few."""
+        found, n, step = [], 0, max(1, cells // len(theirs))
+        for at in range(0, len(own), step):
+            found.append(np.flatnonzero(np.bitwise_count(own[at : at + step, None] ^ theirs) <= most) + at * len(theirs))
+            n += len(found[-1])
+            if n > FEW * len(own) * len(theirs):
+                return None
+        return np.concatenate(found)
+
     def places(others: list[str], alphabet: np.ndarray, words: int) -> np.ndarray:
         """Bit vectors of the places of each character in each other label."""
         size = np.array([len(x) for x in others])
@@ -140,50 +150,47 @@ def similar_function(cells: int = CELLS, characters: int = CHARACTERS) -> Callab
             return
         alphabet, codes = np.unique(np.array(labels, f"U{length}").view(np.uint32), return_inverse=True)
         codes = codes.reshape(len(labels), length)
-        own, theirs, tree = marks(labels), marks(others), []
-        words = (int(size[able].max()) + 63) // 64
+        sums, words = size[able] + length, (int(size[able].max()) + 63) // 64
+        kept = near(marks(labels), marks([others[i] for i in able]), np.clip(np.floor(sums * (1 - threshold / 100) + 1e-6), 0, 64).astype(np.uint8))
+        if kept is not None:
+            row, column = np.divmod(kept, len(able))
+            step = max(1, min(cells, 32 * cells // len(alphabet)) // words)
+            for at in range(0, len(row), step):
+                mine = row[at : at + step]
+                used, theirs = np.unique(column[at : at + step], return_inverse=True)
+                bits = places([others[i] for i in able[used]], alphabet, words)
+                rows = np.full((len(mine), words), ~np.uint64(0))
+                for i in range(length):
+                    rows = next_rows(rows, bits[codes[mine, i], theirs])
+                common = 64 * words - np.bitwise_count(rows).sum(axis=-1, dtype=np.int64)
+                out[mine, able[used][theirs]] = 200.0 * common / sums[used][theirs] >= threshold
+            return
+        begins = np.ones(codes.shape, bool)
+        np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1, out=begins[1:])
+        nodes, tree = np.cumsum(begins, axis=0) - 1, []
+        for i in range(length):
+            first = np.flatnonzero(begins[:, i])
+            tree.append((nodes[first, i - 1] if i else np.zeros(len(first), np.int64), codes[first, i]))
+        least = np.ceil(threshold * sums / 200 - 1e-6)
         step = max(1, cells // (len(labels) * words))
         for at in range(0, len(able), step):
             some = able[at : at + step]
-            sums = size[some] + length
-            near = np.bitwise_count(own[:, None] ^ theirs[some]) <= np.floor(sums * (1 - threshold / 100) + 1e-6)
-            row, column = np.divmod(np.flatnonzero(near), len(some))
-            if not len(row):
-                continue
-            if len(row) <= FEW * near.size:
-                used, column = np.unique(column, return_inverse=True)
-                bits = places([others[i] for i in some[used]], alphabet, words)
-                rows = np.full((len(row), words), ~np.uint64(0))
-                for i in range(length):
-                    rows = next_rows(rows, bits[codes[row, i], column])
-                common = 64 * words - np.bitwise_count(rows).sum(axis=-1, dtype=np.int64)
-                out[row, some[used][column]] = 200.0 * common / sums[used][column] >= threshold
-                continue
-            if not tree:
-                begins = np.ones(codes.shape, bool)
-                np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1, out=begins[1:])
-                nodes = np.cumsum(begins, axis=0) - 1
-                for i in range(length):
-                    first = np.flatnonzero(begins[:, i])
-                    tree.append((nodes[first, i - 1] if i else np.zeros(len(first), np.int64), codes[first, i]))
-            least = np.ceil(threshold * sums / 200 - 1e-6)
-            there, common = compared(tree, nodes[:, -1], places([others[i] for i in some], alphabet, words), least)
-            out[np.ix_(there, some)] = 200.0 * common / sums >= threshold
+            there, common = compared(tree, nodes[:, -1], places([others[i] for i in some], alphabet, words), least[at : at + step])
+            out[np.ix_(there, some)] = 200.0 * common / sums[at : at + step] >= threshold
 
     def similar(labels: list[str], others: list[str], threshold: float) -> np.ndarray:
         """Which of the labels, one a row, reach the threshold with which of the others; empty ones resemble none."""
         out = np.zeros((len(labels), len(others)), bool)
         order = sorted(range(len(labels)), key=lambda i: (len(labels[i]), labels[i]))
+        labels = [labels[i] for i in order]
         at = 0
         while at < len(order):
-            length = len(labels[order[at]])
+            length = len(labels[at])
             end = at + max(1, min(cells, characters // max(length, 1)))
-            some = [i for i in order[at:end] if len(labels[i]) == length]
+            some = [x for x in labels[at:end] if len(x) == length]
             if length and others:
-                found = np.zeros((len(some), len(others)), bool)
-                part([labels[i] for i in some], others, threshold, found)
-                out[some] = found
+                part(some, others, threshold, out[at : at + len(some)])
             at += len(some)
-        return out
+        return out if order == list(range(len(order))) else out[np.argsort(order)]
 
     return similar

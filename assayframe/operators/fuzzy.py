@@ -291,8 +291,9 @@ def _nearest_direct(representatives: DataFrame, labels: DataFrame, threshold: in
                 for at in range(0, len(places) if others else 0, ROWS):
                     some = places[at : at + ROWS]
                     found = similar([own[i] for i in some], others, threshold)
-                    for row, first in zip(np.flatnonzero(found.any(axis=1)).tolist(), found.argmax(axis=1)[found.any(axis=1)].tolist()):
-                        canonical[some[row]] = others[first]
+                    first = found.argmax(axis=1)
+                    for row in np.flatnonzero(found[np.arange(len(some)), first]).tolist():
+                        canonical[some[row]] = others[first[row]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(canonical, pa.string())], names=["column", "label", "canonical"])
 
     return labels.mapInArrow(run, MAP_SCHEMA)
